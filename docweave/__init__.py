@@ -1,3 +1,27 @@
 """Spark-first retrieval and evaluation engine over document collections."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 __version__ = "0.1.0"
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give the executors this package, once for each application, unless their Python path has it anyway."""
+    home = Path(__file__).resolve().parent
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p and Path(p).resolve() == home.parent for p in paths):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="docweave-code-")) / "docweave.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
