@@ -11,7 +11,8 @@ Steps, none of which gathers a group in one place:
 3. in each bucket every member is compared with the bucket's least member (a star, not all pairs);
 4. components of the confirmed links; in buckets that still hold several components, members
    outside the bucket's largest component are compared with all members of other components, which
-   leaves no candidate pair between components untested; components again;
+   leaves no candidate pair between components untested; lengths and parity bitmaps, which refuse no
+   similar pair, thin them before the sets are read; components again;
 5. documents get their class's component.
 
 Defined results: null or blank text has an empty set and stands alone; a text with fewer words than
@@ -36,6 +37,7 @@ from docweave.llm.components import connected_components
 from docweave.llm.shared import in_slices, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+PARITY_LONGS = 16
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -100,15 +102,25 @@ def band_keys(low: np.ndarray, high: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_LONGS * 64 bits, each the parity of the shingles that hash to it.
+
+    Two maps differ in at most as many bits as shingles are in one set only.
+    """
+    n = np.bincount((shingles & np.uint64(PARITY_LONGS * 64 - 1)).astype(np.int64), minlength=PARITY_LONGS * 64)
+    return np.packbits(n & 1, bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, s: MinMaxSettings) -> DataFrame:
     a, b = permutation_table(s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            sizes, digests, bands = [], [], []
+            sizes, digests, bands, maps = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, s.shingle)
                 sizes.append(len(found))
+                maps.append(parity_map(found))
                 if len(found):
                     digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(*min_max(found, a, b), s.rows))
@@ -117,11 +129,13 @@ def signatures(docs: DataFrame, s: MinMaxSettings) -> DataFrame:
                     bands.append(np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
+            even = pa.array(np.arange(0, PARITY_LONGS * len(maps) + 1, PARITY_LONGS, dtype=np.int32))
+            parity = pa.ListArray.from_arrays(even, pa.array(np.concatenate(maps)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), keys], ["doc_id", "n_shingles", "digest", "bands"]
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), keys, parity], ["doc_id", "n_shingles", "digest", "bands", "parity"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, s: MinMaxSettings) -> DataFrame:
@@ -165,13 +179,17 @@ def near_duplicates(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> Da
 
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    open_members = materialize(placed.join(mixed, "key"), "open-members")
+    words = [F.get("parity", i).alias(f"p{i}") for i in range(PARITY_LONGS)]
+    maps = usable.select(F.col("doc_id").alias("id"), *words)
+    open_members = materialize(placed.join(mixed, "key").join(maps, "id"), "open-members")
     sizes = open_members.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     marked = open_members.join(main, "key")
     a, b = marked.where("c <> main").alias("a"), marked.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
     near &= 100 * F.least("a.n_shingles", "b.n_shingles") >= s.percent * F.greatest("a.n_shingles", "b.n_shingles")
+    apart = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(1, PARITY_LONGS)), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
+    near &= (100 + s.percent) * apart <= (100 - s.percent) * (F.col("a.n_shingles") + F.col("b.n_shingles"))
     rest = a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     rest = materialize(rest.join(star, ["u", "v"], "left_anti"), "rest")
     if rest.limit(1).count():
@@ -182,7 +200,7 @@ def near_duplicates(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> Da
     named = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "class-components")
     usable_digest = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
-    out = signed.drop("bands").withColumn("digest", usable_digest).join(named, "digest", "left")
+    out = signed.drop("bands", "parity").withColumn("digest", usable_digest).join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
