@@ -9,8 +9,8 @@ then line number, whether or not that one goes as well) has a Jaccard similarity
 2. Each line keeps its prefix: its rarest tokens, so many that two similar lines must share one.
 3. Lines of equal sets fall together by their keys; the earliest of each set goes on.
 4. Prefixes join by token under the length filter, the positional filter (what can still be shared
-   given both places in the order) and a 64-bit bitmap filter (a lower bound of the symmetric
-   difference). A line that looks like its token's earliest line is compared with that one only;
+   given both places in the order) and a parity filter (two sets' parity bitmaps differ in at most
+   as many of 128 bits as tokens are in one set only). A line that looks like its token's earliest line is compared with that one only;
    a group of near copies thus gives a pair for each member, not for each two.
 5. Pairs are verified on the token sets themselves. Lines whose comparison with an earliest line
    failed, and that nothing else matched, meet all their candidates in a second join.
@@ -25,12 +25,13 @@ no rows. Further columns are passed through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import SPACE_PATTERN, materialize
+from docweave.llm.shared import SPACE_PATTERN, discard, materialize
 
 CLASSES = 1 << 16
 BLANKS = " \t\x0b\f\r"
@@ -41,6 +42,7 @@ NO_ID = -(1 << 63)
 class LineSettings:
     percent: int = 80
     min_tokens: int = 5
+    passes: int = 2  # the join runs over one share of the tokens after the other, so its shuffle takes that share of the disk
     broadcast_rows: int = 500_000
 
 
@@ -48,18 +50,26 @@ def _words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(BLANKS)), SPACE_PATTERN)
 
 
-def _class(token: Column) -> Column:
-    return F.pmod(F.shiftright(F.xxhash64(token), 32), F.lit(CLASSES))
+def rarity(docs: DataFrame) -> tuple[Column, int]:
+    """The order that halves the table's tokens, and a literal array that turns a token's hash into its order: the hash with its class replaced by the class's rank.
 
-
-def rarity(docs: DataFrame) -> Column:
-    """Counts of the token classes over the whole table, as a literal array of fixed size."""
+    The class of a token is the top 16 bits of its hash; classes are ranked by their counts over the
+    whole table. The replacement is one to one, so no two hashes meet.
+    """
     tokens = docs.where("text IS NOT NULL").select(F.explode(F.split("text", SPACE_PATTERN)).alias("t"))
-    rows = tokens.groupBy(_class(F.col("t")).cast("int").alias("c")).count().collect()  # at most CLASSES rows
+    rows = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("t"), 48).cast("int").alias("c")).count().collect()  # at most CLASSES rows
     counts = [0] * CLASSES
     for c, n in rows:
-        counts[c] = min(n, (1 << 31) - 1)
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+        counts[c] = n
+    swap = [0] * CLASSES
+    half, passed, total = 0, 0, sum(counts)
+    for rank, c in enumerate(sorted(range(CLASSES), key=lambda c: (counts[c], c))):
+        if 2 * passed <= total:
+            half = (rank - 0x8000) << 48
+        passed += counts[c]
+        mixed = ((rank ^ 0x8000) ^ c) << 48  # the flipped top bit makes signed order the order of ranks
+        swap[c] = mixed - (1 << 64) if mixed >= 1 << 63 else mixed
+    return F.split(F.lit(",".join(map(str, swap))), ",").cast("array<bigint>"), half
 
 
 def _at(docs: DataFrame) -> Column:
@@ -80,33 +90,39 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def keyed_lines(docs: DataFrame, pos: Column, s: LineSettings) -> DataFrame:
-    """Every line of enough tokens with its position, set size, set key, bitmap and prefix."""
-    counts = rarity(docs)
-    order = F.transform(
-        _words(F.col("line")),
-        lambda w: F.shiftleft(F.element_at(counts, (_class(w) + 1).cast("int")), 32).bitwiseOR(F.xxhash64(w).bitwiseAND(0xFFFFFFFF)),
+    """Every line with its position, set size, set key, parity bitmap (64 bits each for the rarer and the commoner tokens) and prefix; short lines have no prefix."""
+    swap, half = rarity(docs)
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    order = F.transform(hashes, lambda h: h.bitwiseXOR(F.get(swap, F.shiftrightunsigned(h, 48).cast("int"))))
+    lines = _lines(docs).where(F.length("line") >= 2 * s.min_tokens - 1).select("_doc", "line_no", F.sort_array(order).alias("_o"))
+    size = F.size("_o")
+    needed = F.when(size >= s.min_tokens, size - F.expr(f"({s.percent} * size(_o) + 99) div 100").cast("int") + 1).otherwise(F.lit(0))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    parity = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    rare = F.filter("_o", lambda t: t < half)
+    lines = lines.withColumns({"n": size, "_rare": rare})
+    often = F.slice("_o", F.size("_rare") + 1, F.col("n") - F.size("_rare"))
+    return lines.select(
+        "_doc", "line_no", pos.alias("pos"), "n", F.xxhash64("_o").alias("k1"), parity("_rare").alias("b1"), parity(often).alias("b2"), F.slice("_o", F.lit(1), needed).alias("prefix")
     )
-    # a token is its class's count and 32 bits of its hash; a clash would only add a candidate
-    lines = _lines(docs).where(F.length("line") >= 2 * s.min_tokens - 1).select("_doc", "line_no", F.sort_array(F.array_distinct(order)).alias("_o"))
-    lines = lines.withColumn("n", F.size("_o")).where(F.col("n") >= s.min_tokens)
-    prefix = F.slice("_o", 1, F.expr(f"n - ({s.percent} * n + 99) div 100 + 1").cast("int"))
-    bitmap = F.aggregate("_o", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    return lines.select("_doc", "line_no", pos.alias("pos"), "n", F.xxhash64("_o").alias("k1"), F.xxhash64("_o", F.lit(1)).alias("k2"), bitmap.alias("bm"), prefix.alias("prefix"))
+
+
+def _n(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}ni"), 32)
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length and bitmap filters: neither refuses a similar pair."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    apart = F.bit_count(F.col(f"{a}bm").bitwiseXOR(F.col(f"{b}bm")))
-    return length & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+    """Length and parity filters: neither refuses a similar pair."""
+    length = 100 * F.least(_n(a), _n(b)) >= percent * F.greatest(_n(a), _n(b))
+    apart = F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))) + F.bit_count(F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2")))
+    return length & ((100 + percent) * apart <= (100 - percent) * (_n(a) + _n(b)))
 
 
 def _in_place(a: str, b: str, percent: int) -> Column:
     """Positional filter: tokens before the shared one and after it bound what can be shared."""
-    ia, ib, na, nb = (F.col(f"{x}{c}") for c in ("i", "n") for x in (a, b))
-    most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    return (100 + percent) * most >= percent * (na + nb)
+    ia, ib = (F.col(f"{x}ni").bitwiseAND(0xFFFFFFFF) for x in (a, b))
+    most = F.least(ia, ib) + 1 + F.least(_n(a) - ia - 1, _n(b) - ib - 1)
+    return (100 + percent) * most >= percent * (_n(a) + _n(b))
 
 
 def _named(df: DataFrame, prefix: str) -> DataFrame:
@@ -130,18 +146,25 @@ def verified(docs: DataFrame, pos: Column, pairs: DataFrame, s: LineSettings) ->
     return pairs.join(a, "later").join(b, "earlier").where(similar).select("later")
 
 
-def later_matches(docs: DataFrame, pos: Column, lines: DataFrame, firsts: DataFrame, s: LineSettings) -> DataFrame:
+def later_matches(docs: DataFrame, pos: Column, first: DataFrame, s: LineSettings) -> DataFrame:
     """Positions of first lines of a set that match an earlier first line of another."""
-    first = lines.join(firsts, ["k1", "k2"]).where("pos = first")
-    postings = first.select("pos", "n", "bm", F.posexplode("prefix").alias("i", "token"))
+    postings = first.select("pos", "n", "b1", "b2", F.posexplode("prefix").alias("i", "token"))
+    # a posting: token, position, set size and place in the order (one number), parity bitmap
+    postings = postings.select("token", "pos", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni"), "b1", "b2")
     group = W.partitionBy("token").orderBy("pos")
-    led = postings.withColumns({f"l_{c}": F.first(c).over(group) for c in ("pos", "n", "bm")})
-    led = led.withColumn("like_first", (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent)).drop("l_n", "l_bm")
-    a, b = _named(led, "a_"), _named(led.select("token", "pos", "n", "bm", "i"), "b_")
-    meet = (F.col("b_pos") < F.col("a_pos")) & _may_match("a_", "b_", s.percent) & _in_place("a_", "b_", s.percent)
-    meet &= ~F.col("a_like_first") | (F.col("b_pos") == F.col("a_l_pos"))
-    pairs = a.join(b, (a["token"] == b["token"]) & meet).groupBy(F.col("a_pos").alias("later"), F.col("b_pos").alias("earlier")).agg(F.max("a_like_first").alias("like_first"))
+
+    def candidates(share: DataFrame) -> DataFrame:
+        led = share.withColumns({f"l_{c}": F.first(c).over(group) for c in ("pos", "ni", "b1", "b2")})
+        led = led.withColumn("like_first", (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent)).drop("l_ni", "l_b1", "l_b2")
+        a, b = _named(led, "a_"), _named(led.drop("l_pos", "like_first"), "b_")
+        meet = (F.col("b_pos") < F.col("a_pos")) & _may_match("a_", "b_", s.percent) & _in_place("a_", "b_", s.percent)
+        meet &= ~F.col("a_like_first") | (F.col("b_pos") == F.col("a_l_pos"))
+        return a.join(b, (a["token"] == b["token"]) & meet).select(F.col("a_pos").alias("later"), F.col("b_pos").alias("earlier"), F.col("a_like_first").alias("like_first"))
+
+    shares = [materialize(candidates(postings.where(F.pmod("token", F.lit(s.passes)) == i)), f"line-candidates-{i}") for i in range(s.passes)]
+    pairs = reduce(DataFrame.unionByName, shares).groupBy("later", "earlier").agg(F.max("like_first").alias("like_first"))
     pairs = materialize(pairs, "line-pairs")
+    discard(*shares)
     found = materialize(verified(docs, pos, pairs, s).distinct(), "line-matches")
     unsure = materialize(pairs.where("like_first").select("later").distinct().join(found, "later", "left_anti"), "line-unsure")
     if not unsure.limit(1).count():
@@ -159,18 +182,24 @@ def later_matches(docs: DataFrame, pos: Column, lines: DataFrame, firsts: DataFr
 def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
     """_doc and the sorted numbers of the lines that go, for documents that lose one."""
     pos = _at(docs)
-    lines = materialize(keyed_lines(docs, pos, s), "lines")
-    firsts = materialize(lines.groupBy("k1", "k2").agg(F.min("pos").alias("first")), "line-firsts")
-    gone = later_matches(docs, pos, lines, firsts, s).select(F.col("later").alias("first"), F.lit(True).alias("gone"))
+    wide = materialize(keyed_lines(docs, pos, s), "lines")
+    keys = ["k1", "b1", "b2", "n"]  # 64 hashed bits of the ordered set, 128 bits of parity and its size
+    long_enough = wide.where(F.col("n") >= s.min_tokens)
+    firsts = materialize(long_enough.groupBy(*keys).agg(F.min("pos").alias("first")), "line-firsts")
+    first = materialize(long_enough.join(firsts, keys).where("pos = first").select("pos", "n", "b1", "b2", "prefix"), "first-lines")
+    lines = materialize(long_enough.select("_doc", "line_no", "pos", *keys), "line-keys")
+    discard(wide)
+    gone = later_matches(docs, pos, first, s).select(F.col("later").alias("first"), F.lit(True).alias("gone"))
     marked = materialize(firsts.join(gone, "first", "left"), "line-verdicts")
-    every = lines.select("_doc", "line_no", "pos", "k1", "k2").join(marked, ["k1", "k2"]).where("pos <> first OR gone").select("_doc", "line_no")
+    discard(first, firsts)
+    every = lines.join(marked, keys).where("pos <> first OR gone").select("_doc", "line_no")
     return every.groupBy("_doc").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, s: LineSettings = LineSettings()) -> DataFrame:
     """The documents with text rid of later matches, and n_lines, removed (line numbers from 0) and lines_left."""
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    removed = materialize(removed_lines(keyed.select("_doc", "text"), s), "removed-lines")
+    removed = materialize(removed_lines(keyed.select("_doc", "text"), s), "removed-lines")  # the last reader of the tables before it
     out = keyed.join(removed, "_doc", "left").drop("_doc")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
