@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docweave.plans import retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = (retrieval,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
