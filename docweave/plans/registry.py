@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docweave.plans import retrieval
+from docweave.plans import curation, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, curation)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
