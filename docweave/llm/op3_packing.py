@@ -22,9 +22,13 @@ are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -44,7 +48,7 @@ class PackSettings:
     capacity: int = 2048
     separator: int = 1
     tolerance: int = 8
-    cache_words: int = 250_000
+    cache_words: int = 700_000
 
 
 def word_class(length: int, capacity: int) -> int:
@@ -66,6 +70,13 @@ def cut(tokens: int, capacity: int, tolerance: int) -> list[int]:
     return out
 
 
+def split_parts(text: str) -> list[str]:
+    """Parts between white space as the vocabulary sees it: Python's, but for the four ASCII separators."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return re.split("[ \\t\\n\\r]+", text)
+    return text.split()
+
+
 class WordTokenizer:
     """Ids of texts by distinct white-space-separated parts, with a cache of bounded size."""
 
@@ -73,42 +84,69 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.between = self.special[-1] if self.special else None
+        self.mark = self.inner.token_to_id(self.between) if self.between else -1
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.begin: list[int] = [0]
-
-    def _add(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            for word, enc in zip(words[at : at + 4096], self.inner.encode_batch_fast(words[at : at + 4096], add_special_tokens=False), strict=True):
-                got = enc.ids
-                if self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(got)), np.uint32)])
-                self.ids[self.used : self.used + len(got)] = got
-                self.used += len(got)
-                self.place[word] = len(self.begin) - 1
-                self.begin.append(self.used)
+        self.ends = np.zeros(1 << 14, np.int64)  # ends[i]: where the ids of word i - 1 end
+        self.known = 0
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words; 64 at a time share one call, parted by a special token that none of them holds."""
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        texts = [(self.between or " ").join(g) for g in groups]
+        encoded = self.inner.encode_batch_fast(texts, add_special_tokens=False)
+        ids, sizes = [], []
+        for g, text, enc in zip(groups, texts, encoded, strict=True):
+            got = np.array(enc.ids, np.uint32)
+            at = np.flatnonzero(got == self.mark)
+            alone = self.between and text.count(self.between) == len(at) == len(g) - 1 and not any(t in text for t in self.special[:-1])
+            if alone:
+                ids.append(np.delete(got, at))
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(got)]])) - 1)
+            else:
+                parts = [np.array(self.inner.encode(w, add_special_tokens=False).ids, np.uint32) for w in g]
+                ids += parts
+                sizes.append(np.array([len(x) for x in parts], np.int64))
+        start = self.ends[self.known]
+        new = np.concatenate(ids)
+        ends = start + np.cumsum(np.concatenate(sizes))
+        if start + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(new)), np.uint32)])
+        if self.known + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words) + 1), np.int64)])
+        self.ids[start : start + len(new)] = new
+        self.ends[self.known + 1 : self.known + 1 + len(words)] = ends
+        self.known += len(words)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").split() for t in texts]
-        if len(self.place) > self.most:
+        words = [split_parts(t or "") for t in texts]
+        if self.known > self.most:
             self.clear()
-        fresh = {w for ws in words for w in ws if w not in self.place}
-        if fresh:
-            self._add(sorted(fresh))
-        begin = np.array(self.begin, np.int64)
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-            first, size = begin[at], begin[at + 1] - begin[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(first - (ends - size), size) + np.arange(total)])
-        return out
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        if len(self.place) > self.known:
+            self._learn(list(islice(self.place, self.known, None)))
+        first, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum([len(w) for w in words])]
+        return np.split(flat, upto[:-1])
+
+
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str, most: int) -> WordTokenizer:
+    """One for each Python worker, which serves many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (path, most) not in _tokenizers:
+        _tokenizers[path, most] = WordTokenizer(path, most)
+    return _tokenizers[path, most]
 
 
 def piece_rows(doc_id: int | None, ids: np.ndarray, s: PackSettings) -> Iterator[tuple]:
@@ -123,7 +161,7 @@ def cut_documents(docs: DataFrame, settings: PackSettings) -> DataFrame:
     """All pieces of all documents, each with its class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(settings.tokenizer, settings.cache_words)
+        tokenizer = worker_tokenizer(settings.tokenizer, settings.cache_words)
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in in_slices(batches):
             texts = tokenizer.encode(batch.column(1).to_pylist())
