@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Most bytes of query vectors that one broadcast holds.
 QUERY_BLOCK_BYTES = 64 << 20
@@ -46,6 +47,7 @@ def top_k(base: DataFrame, key: str, queries: DataFrame, query_key: str, k: int,
     kinds = {c: queries.schema[c].dataType.simpleString() for c in (query_key,)} | {key: base.schema[key].dataType.simpleString()}
     schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, score double"
     spark = base.sparkSession
+    query_type = to_arrow_type(queries.schema[query_key].dataType)
 
     def scaled(m: np.ndarray) -> np.ndarray:
         return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12) if cosine else m
@@ -68,7 +70,7 @@ def top_k(base: DataFrame, key: str, queries: DataFrame, query_key: str, k: int,
                     if least is not None:
                         keep = s > least
                     rows, cols = best[keep].ravel(), which[keep].ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols]), pa.array(own[rows].tolist(), part.column(0).type), pa.array(s[keep].ravel())], [query_key, key, "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols], query_type), pa.array(own[rows].tolist(), part.column(0).type), pa.array(s[keep].ravel())], [query_key, key, "score"])
 
         return base.select(key, vector).mapInArrow(work, schema)
 
