@@ -8,7 +8,8 @@ calibrated probability of good quality reaches `keep_at`.
 
 Defined results: null or empty text has no words, so it fails the base rules; a null doc_id gives a
 row with a null doc_id; repeated rows each give a row; with no labelled rows the model is constant
-and the base rules decide alone. Other columns of the input are ignored.
+and the base rules decide alone. Other columns of the input are
+ignored by `quality_rules` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
 from docweave.llm.shared import in_slices, labelled_sample
@@ -181,3 +184,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, settings: QualitySettings
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], names)
 
     return docs.select("doc_id", "text").mapInArrow(score, SCHEMA)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
+    """The documents that are kept, with the input's columns. Each row is judged where it is read; nothing is joined."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        return pd.Series([measure(t, model.value, settings)[-1] for t in text], dtype=bool)
+
+    return docs.where(good("text"))

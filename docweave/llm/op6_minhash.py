@@ -18,7 +18,7 @@ Steps, none of which gathers a group in one place:
 Defined results: null or blank text has an empty set and stands alone; a text with fewer words than
 a shingle has one shingle, the whole sequence; a null doc_id is linked with nothing, has a null
 component and is kept; rows that share a doc_id count as texts of one document; an empty table
-gives no rows. Other columns are ignored by `near_duplicates`.
+gives no rows. Other columns are ignored by `near_duplicates` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
 from docweave.llm.components import connected_components
-from docweave.llm.shared import in_slices, materialize
+from docweave.llm.shared import fresh, in_slices, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARITY_LONGS = 16
@@ -207,5 +207,8 @@ def near_duplicates(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> Da
 
 def keep_one(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> DataFrame:
     """The documents with one of each near-duplicate group: the one with the least doc_id."""
-    gone = near_duplicates(docs, s).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = materialize(near_duplicates(docs, s).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone-ids")
+    if gone.count() <= s.broadcast_ids:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -10,7 +10,7 @@ the sources (a row a source), not over documents.
 Defined results: null and empty texts have size 0; sources order by code point with null last, and
 null is a source of its own; a source of size 0 has target 0 and its documents appear at the
 overall floor of 0 times; a null doc_id hashes as the text `null`; repeated rows each count and get
-the same decision. Other columns are kept by `mix_documents` and ignored by `mixing_plan`.
+the same decision. Other columns, whatever their names, are kept by `mix_documents` and ignored by `mixing_plan`.
 """
 
 from __future__ import annotations
@@ -64,30 +64,26 @@ def chance(doc_id: Column, seed: str) -> Column:
 
 
 def with_copies(docs: DataFrame, settings: MixSettings) -> DataFrame:
-    """The documents with size, source_size, target and copies. One scan makes the totals, one joins them."""
-    sized = docs.withColumn("size", F.size(ascii_words(F.col("text"))).cast("long"))
-    targets = materialize(source_targets(sized.select("source", "size"), settings).withColumnRenamed("source", "_source"), "mix-targets")
+    """The documents, as a struct `row`, with size, source_size, target and copies. One scan makes the totals, one joins them."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.size(ascii_words(F.col("text"))).cast("long").alias("size"))
+    named = sized.select(F.col("row.source").alias("source"), "size")
+    targets = materialize(source_targets(named, settings), "mix-targets")
     if targets.count() <= settings.broadcast_sources:
         targets = F.broadcast(targets)  # else the join shuffles, and adaptive execution splits a hot source
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (chance(F.col("doc_id"), settings.seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_rate", rate)
-        .withColumn("copies", F.floor("_rate") + extra)
-        .drop("_source", "_rate")
-    )
+    extra = (chance(F.col("row.doc_id"), settings.seed) < F.col("rate") - F.floor("rate")).cast("long")
+    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source"))).withColumn("rate", rate)
+    return joined.withColumn("copies", F.floor("rate") + extra)
 
 
 def mixing_plan(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     plan = with_copies(docs.select("doc_id", "text", "source"), settings)
-    return plan.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return plan.select("row.doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """The mix itself: each document as often as the plan says, with the input's columns."""
-    kept = [c for c in docs.columns]
-    plan = with_copies(docs, settings)
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return plan.where("copies > 0").select(*kept, times.alias("_time")).drop("_time")
+    plan = with_copies(docs, settings).where("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")
+    return plan.select("row", times).select("row.*")
