@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.op3_packing import PackSettings, pack
-from docweave.llm.op4_quality import quality_rules
+from docweave.llm.op4_quality import keep_good
 from docweave.llm.op6_minhash import MinMaxSettings, keep_one
 from docweave.llm.op7_mixing import mix_documents
 from docweave.llm.op8_linededup import deduplicate
@@ -23,8 +23,7 @@ from docweave.llm.shared import shared_folder, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the classifier keep."""
-    gone = quality_rules(docs, table(spark, sf_dir, "labels")).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
