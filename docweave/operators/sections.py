@@ -63,7 +63,7 @@ def common_level(levels: DataFrame, key: str, order: str, family: int) -> DataFr
 def section_ids(levels: DataFrame, key: str, order: str, most: str = "most_level") -> DataFrame:
     """Adds section: it goes up where a line's level is no deeper than the common one and differs from the line before."""
     w = W.partitionBy(key).orderBy(order)
-    opens = (F.col("level") <= F.col(most)) & (F.col("level") != F.coalesce(F.lag("level").over(w), F.lit(-1)))
+    opens = (F.col("level") <= F.col(most)) & (F.col("level") != F.coalesce(F.lag("level").over(w), F.col("level")))
     return levels.withColumn("_o", opens.cast("int")).withColumn("section", F.sum("_o").over(w)).drop("_o")
 
 

@@ -361,7 +361,7 @@ def title_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.common_level(levels(spark, sf_dir), "doc_id", "i", 1)
 
 
-@query(f"""WITH {LEVELS}, o AS (SELECT doc_id, i, level, CASE WHEN level <= most_level AND level <> coalesce(lag(level) OVER (PARTITION BY doc_id ORDER BY i), -1) THEN 1 ELSE 0 END AS opens FROM levels JOIN common USING (doc_id))
+@query(f"""WITH {LEVELS}, o AS (SELECT doc_id, i, level, CASE WHEN level <= most_level AND level <> coalesce(lag(level) OVER (PARTITION BY doc_id ORDER BY i), level) THEN 1 ELSE 0 END AS opens FROM levels JOIN common USING (doc_id))
 SELECT doc_id, i::INT AS i, level::INT AS level, sum(opens) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS section FROM o""")
 def section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = levels(spark, sf_dir)
