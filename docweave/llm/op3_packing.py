@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import in_slices, materialize
+from docweave.llm.shared import in_slices, materialize, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long"
 
@@ -48,7 +48,7 @@ class PackSettings:
     capacity: int = 2048
     separator: int = 1
     tolerance: int = 8
-    cache_words: int = 700_000
+    cache_words: int = 1_000_000
 
 
 def word_class(length: int, capacity: int) -> int:
@@ -94,8 +94,23 @@ class WordTokenizer:
         self.place: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i]: where the ids of word i - 1 end
+        self.hits = np.zeros(0, np.int64)
         self.known = 0
 
+    def _forget(self) -> None:
+        """Keep the words met most often, half a cache of them at most."""
+        keep = np.flatnonzero(self.hits > max(1, np.partition(self.hits, -(self.most // 2))[-(self.most // 2)]))
+        first, size = self.ends[keep], self.ends[keep + 1] - self.ends[keep]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        words, hits = list(self.place), self.hits[keep]
+        self.clear()
+        for i in keep.tolist():
+            self.place[words[i]]
+        if len(keep):
+            self.ids, self.hits, self.known = ids, hits, len(keep)
+            self.ends = np.concatenate([[0], ends, np.zeros(len(keep) + 1, np.int64)])
+
     def _learn(self, words: list[str]) -> None:
         """Ids of new words; 64 at a time share one call, parted by a special token that none of them holds."""
         groups = [words[i : i + 64] for i in range(0, len(words), 64)]
@@ -127,10 +142,13 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [split_parts(t or "") for t in texts]
         if self.known > self.most:
-            self.clear()
+            self._forget()
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         if len(self.place) > self.known:
             self._learn(list(islice(self.place, self.known, None)))
+        met = np.bincount(at, minlength=self.known)
+        met[: len(self.hits)] += self.hits
+        self.hits = met
         first, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -168,6 +186,7 @@ def cut_documents(docs: DataFrame, settings: PackSettings) -> DataFrame:
             rows = [r for d, ids in zip(batch.column(0).to_pylist(), texts, strict=True) for r in piece_rows(d, ids, settings)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(work, PIECES)
 
 
