@@ -199,4 +199,4 @@ def log_odds(slots: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     n0, n1 = max((y == 0).sum(), 1), max((y == 1).sum(), 1)
     raw = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     total = seen.sum(0)
-    return np.clip(raw * total / (total + 8), -2, 5).astype(np.float32)
+    return np.clip(raw * total / (total + 15), -2, 5).astype(np.float32)

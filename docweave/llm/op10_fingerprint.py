@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import in_slices
+from docweave.llm.shared import in_slices, small_batches
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LEAST_BLOCK = 3
@@ -139,6 +139,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     first document of a range also goes to the range before it, as that range's last neighbour.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     least = -(1 << 63)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("_key"))
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
-from docweave.llm.shared import crc_mod, in_slices, labelled_sample
+from docweave.llm.shared import crc_mod, in_slices, labelled_sample, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, runner_up string"
@@ -141,6 +141,7 @@ def decode(model: LangModel, z: np.ndarray) -> tuple[int, int, float, float]:
 
 def identify(docs: DataFrame, settings: LangSettings = LangSettings()) -> DataFrame:
     """One row per document: the predicted language, how sure, and whether the runner-up is close."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, settings))  # 2**bits x code bits floats
 
     def one(text: str | None) -> tuple[str, float, bool, str | None]:

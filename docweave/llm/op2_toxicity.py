@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docweave.llm import ngrams
 from docweave.llm.gru import Adam, GruShape, Net, Vocabulary, log_odds, split_words, window_ids, windows
 from docweave.llm.op4_quality import calibrate
-from docweave.llm.shared import crc_mod, in_slices, labelled_sample
+from docweave.llm.shared import crc_mod, in_slices, labelled_sample, small_batches
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_start long, n_windows long"
 
@@ -39,6 +39,7 @@ class ToxicSettings:
     rounds: int = 5
     batch: int = 64
     windows_at_once: int = 4096
+    weight_of_clean: float = 3.0  # the sample holds as many toxic texts as clean ones; most corpora don't
     seed: int = 4
 
 
@@ -119,7 +120,7 @@ def train(sample: list[tuple[str, int]], s: ToxicSettings) -> ToxicModel:
     vectors = vocab.vectors(net.words, net.chars)
     held = [i for i in np.flatnonzero(back) if len(texts[i])]
     top = np.array([z.max() for z in score_windows(net, net.gates(vectors), [texts[i] for i in held], s.windows_at_once)])
-    slope, offset = calibrate(top.astype(np.float64), y[held]) if held else (1.0, 0.0)
+    slope, offset = calibrate(top.astype(np.float64), y[held], s.weight_of_clean) if held else (1.0, 0.0)
     return ToxicModel(net, slope, offset)
 
 
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: ToxicSettings) -> ToxicModel | No
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: ToxicSettings = ToxicSettings()) -> DataFrame:
     """One row per document: its score, the verdict at the threshold, and where its worst window starts."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, s))  # two tables of 2**bits small rows: 3 MB
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

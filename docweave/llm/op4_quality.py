@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
-from docweave.llm.shared import in_slices, labelled_sample
+from docweave.llm.shared import in_slices, labelled_sample, small_batches
 
 #: Characters that count as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -121,23 +121,34 @@ def fit_margin(rows: list[tuple[list[np.ndarray], int]], bits: int, epochs: int)
     return w
 
 
-def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling by Newton steps on smoothed targets."""
+def calibrate(margins: np.ndarray, y: np.ndarray, weight_of_0: float = 1.0) -> tuple[float, float]:
+    """Platt scaling: slope and offset of the margin, by damped Newton steps on smoothed targets and standardised margins."""
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         return 1.0, 0.0
-    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = ngrams.sigmoid(a * margins + b)
-        v = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * margins).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        h = np.array([[(v * margins * margins).sum() + 1e-3, (v * margins).sum()], [(v * margins).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+    mean, spread = margins.mean(), max(margins.std(), 1e-9)
+    x, t = (margins - mean) / spread, np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    w = np.where(y == 1, 1.0, weight_of_0)
+
+    def loss(c: np.ndarray) -> float:
+        z = np.clip(c[0] * x + c[1], -500, 500)
+        return float((w * (np.logaddexp(0, z) - t * z)).sum() + 0.01 * c[0] ** 2)
+
+    c = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = ngrams.sigmoid(c[0] * x + c[1])
+        v = w * np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(w * (p - t) * x).sum() + 0.02 * c[0], (w * (p - t)).sum()])
+        h = np.array([[(v * x * x).sum() + 0.02, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(c - size * step) > loss(c):
+            size /= 2
+        c = c - size * step
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-7:
             break
-    return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
+    if c[0] <= 0:
+        return 1.0, 0.0
+    return float(c[0] / spread), float(c[1] - c[0] * mean / spread)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings) -> QualityModel:
@@ -173,6 +184,7 @@ def measure(text: str | None, model: QualityModel, settings: QualitySettings) ->
 def quality_rules(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """One row per document: the base counts, the calibrated probability and the verdict."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, settings))  # 2**bits floats: 1 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +200,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, settings: QualitySettings
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """The documents that are kept, with the input's columns. Each row is judged where it is read; nothing is joined."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
 
     @F.pandas_udf("boolean")

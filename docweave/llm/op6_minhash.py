@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
 from docweave.llm.components import connected_components
-from docweave.llm.shared import fresh, in_slices, materialize
+from docweave.llm.shared import fresh, in_slices, materialize, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARITY_LONGS = 16
@@ -166,6 +166,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, s: MinMaxSettings) -> DataFrame
 
 def near_duplicates(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     signed = materialize(signatures(docs, s), "signatures")
     usable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")

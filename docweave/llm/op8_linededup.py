@@ -19,7 +19,7 @@ then line number, whether or not that one goes as well) has a Jaccard similarity
 Defined results: null text has no lines and stays null; documents that lose every line keep an empty text in
 `deduplicate` (and `lines_left` 0); a null doc_id sorts before all others; rows that share a doc_id
 share line positions, and lines at one position don't remove each other; an empty table gives
-no rows. Further columns are passed through.
+no rows. Further columns are passed through, but for those named like the three that are added.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import SPACE_PATTERN, discard, materialize
+from docweave.llm.shared import SPACE_PATTERN, discard, fresh, materialize
 
 CLASSES = 1 << 16
 BLANKS = " \t\x0b\f\r"
 NO_ID = -(1 << 63)
+#: Bitmaps of unrelated long lines differ in about 64 of 128 bits; at most so many count as looking alike.
+NEAR_BITS = 36
 
 
 @dataclass(frozen=True)
@@ -111,11 +113,15 @@ def _n(side: str) -> Column:
     return F.shiftright(F.col(f"{side}ni"), 32)
 
 
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two parity bitmaps differ."""
+    return F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))) + F.bit_count(F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2")))
+
+
 def _may_match(a: str, b: str, percent: int) -> Column:
     """Length and parity filters: neither refuses a similar pair."""
     length = 100 * F.least(_n(a), _n(b)) >= percent * F.greatest(_n(a), _n(b))
-    apart = F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))) + F.bit_count(F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2")))
-    return length & ((100 + percent) * apart <= (100 - percent) * (_n(a) + _n(b)))
+    return length & ((100 + percent) * _apart(a, b) <= (100 - percent) * (_n(a) + _n(b)))
 
 
 def _in_place(a: str, b: str, percent: int) -> Column:
@@ -155,7 +161,7 @@ def later_matches(docs: DataFrame, pos: Column, first: DataFrame, s: LineSetting
 
     def candidates(share: DataFrame) -> DataFrame:
         led = share.withColumns({f"l_{c}": F.first(c).over(group) for c in ("pos", "ni", "b1", "b2")})
-        led = led.withColumn("like_first", (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent)).drop("l_ni", "l_b1", "l_b2")
+        led = led.withColumn("like_first", (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent) & (_apart("", "l_") <= NEAR_BITS)).drop("l_ni", "l_b1", "l_b2")
         a, b = _named(led, "a_"), _named(led.drop("l_pos", "like_first"), "b_")
         meet = (F.col("b_pos") < F.col("a_pos")) & _may_match("a_", "b_", s.percent) & _in_place("a_", "b_", s.percent)
         meet &= ~F.col("a_like_first") | (F.col("b_pos") == F.col("a_l_pos"))
@@ -198,12 +204,18 @@ def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
 
 def deduplicate(docs: DataFrame, s: LineSettings = LineSettings()) -> DataFrame:
     """The documents with text rid of later matches, and n_lines, removed (line numbers from 0) and lines_left."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    removed = materialize(removed_lines(keyed.select("_doc", "text"), s), "removed-lines")  # the last reader of the tables before it
-    out = keyed.join(removed, "_doc", "left").drop("_doc")
-    lines = F.split("text", "\n")
+    made = ("n_lines", "removed", "lines_left")
+    row = fresh(docs, "row")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), "text", F.struct(*docs.columns).alias(row))
+    gone = materialize(removed_lines(keyed.select("_doc", "text"), s), "removed-lines")  # the last reader of the tables before it
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    out = keyed.select("_doc", row).join(gone, "_doc", "left").select(row, removed.alias("removed"))
+    old = F.col(row)["text"]
+    lines = F.split(old, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    out = out.withColumns({"n_lines": n_lines, "removed": F.coalesce("removed", F.array().cast("array<int>"))})
-    return out.withColumns({"text": text, "lines_left": F.col("n_lines") - F.size("removed")})
+    cut = F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
+    n_lines = F.when(old.isNull(), F.lit(0)).otherwise(F.octet_length(old) - F.octet_length(F.replace(old, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    columns = [F.col(row)[c].alias(c) for c in docs.columns if c not in made and c != "text"]
+    text = F.when(F.size("removed") == 0, old).otherwise(cut)
+    ordered = out.select(*columns, text.alias("text"), n_lines.alias("n_lines"), "removed", (n_lines - F.size("removed")).alias("lines_left"))
+    return ordered.select(*[c for c in docs.columns if c not in made], *made)

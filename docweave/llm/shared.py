@@ -55,6 +55,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most_rows: int = 1000) -> None:
+    """Hold Arrow batches to so many rows in this session: whole texts are long, and memory is shared with the JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most_rows:
+        spark.conf.set(name, str(most_rows))
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that Python works on about most_bytes at once (or one row), whatever the batch size is."""
     for batch in batches:
