@@ -111,3 +111,63 @@ def matched_schools(studies: DataFrame, schools: DataFrame, name: str) -> DataFr
     names = F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name_cn", "name_en"), F.coalesce("aliases", F.array().cast("array<string>"))))))
     flat = schools.select("school_id", names.alias("_n")).select("school_id", F.lower(F.regexp_replace("_n", r"\s+", "")).alias("_n")).groupBy("_n").agg(F.min("school_id").alias("school_id"))
     return studies.withColumn("_s", F.lower(F.regexp_replace(F.regexp_replace(name, r"[\(（][^()（）]*[\)）]", ""), r"\s+", ""))).join(flat, F.col("_s") == F.col("_n"), "left").drop("_s", "_n")
+
+
+#: Degrees by number.
+DEGREES = {"94": "EMBA", "6": "MBA", "95": "MPA", "92": "专升本", "4": "专科", "90": "中专", "91": "中技", "86": "初中", "3": "博士", "10": "博士后", "1": "本科", "2": "硕士", "87": "职高", "89": "高中"}
+#: The columns of a flat record.
+FLAT_COLUMNS = (
+    "address annual_salary annual_salary_from annual_salary_to birth card certificate_obj city corporation_id corporation_name corporation_type degree discipline_name education_obj email "
+    "expect_annual_salary expect_city_names expect_industry_name expect_position_name expect_salary_from expect_salary_to expect_type gender industry_name industry_names is_deleted is_fertility is_house "
+    "is_management_experience is_marital is_oversea language_obj name nation phone political_status position_name project_obj responsibilities salary_month scale school_name self_remark skill_obj title_name "
+    "tob_resume_id updated_at wechat work_obj work_experience work_start_time"
+).split()
+
+
+def degree_name(number: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DEGREES.items() for x in kv]), number.cast("string")), F.lit(""))
+
+
+def degree_number(name: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in DEGREES.items() for x in (v, k)]), F.upper(F.trim(name))), F.lit(""))
+
+
+def flat_records(raw: DataFrame, content: str = "resume_content", industries: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """One flat row of text columns for each JSON record; what isn't stated is empty.
+
+    raw: tob_resume_id, updated_at and content. industries and regions: id, path (names from the entry to its root).
+    """
+    at = lambda part, name: F.coalesce(F.get_json_object(content, f"$.{part}.{name}"), F.lit(""))
+    whole = lambda name: F.coalesce(F.get_json_object(content, f"$.{name}"), F.lit("{}"))
+    yes_no = lambda c: F.when(c == "Y", "是").when(c == "N", "否").otherwise("")
+    special = {
+        "tob_resume_id": F.col("tob_resume_id").cast("string"),
+        "updated_at": F.coalesce(F.nullif(at("basic", "updated_at"), F.lit("")), F.col("updated_at").cast("string"), F.lit("")),
+        "degree": degree_name(at("basic", "degree")),
+        "gender": F.when(at("basic", "gender") == "M", "男").when(at("basic", "gender") == "F", "女").otherwise(""),
+        "is_management_experience": yes_no(at("basic", "management_experience")),
+        "is_marital": yes_no(at("basic", "marital")),
+        "expect_industry_name": F.translate(F.regexp_replace(at("basic", "expect_industry_name"), r'^\["|"\]$|"', ""), ",", " "),
+        "phone": F.coalesce(F.nullif(F.trim(at("contact", "phone")), F.lit("")), F.trim(at("contact", "tel"))),
+        "industry_names": at("basic", "industry_ids"),
+    }
+    special |= {c: yes_no(at("basic", c)) for c in ("is_fertility", "is_oversea", "is_house")}
+    special |= {c: at("contact", c) for c in ("wechat", "is_deleted", "name", "email")}
+    special |= {f"{c}_obj": whole(c) for c in ("education", "work", "certificate", "project", "language", "skill")}
+    one_line = lambda c: F.regexp_replace(F.translate(c, "\t", " "), r"\r\n|\n|\r", r"\\n")
+    flat = raw.select(*[one_line(special.get(c, at("basic", c))).alias(c) for c in FLAT_COLUMNS])
+    if industries is not None:
+        ids = flat.select("tob_resume_id", F.posexplode(F.split("industry_names", ",")).alias("i", "id")).join(F.broadcast(industries), "id")  # a fixed lookup table
+        named = ids.groupBy("tob_resume_id").agg(F.array_sort(F.collect_list(F.struct("i", "path"))).alias("_p"))
+        flat = flat.drop("industry_names").join(named.select("tob_resume_id", F.array_join(F.transform("_p", lambda p: F.array_join(p["path"], " ")), " ").alias("industry_names")), "tob_resume_id", "left")
+    if regions is not None:
+        flat = flat.join(F.broadcast(regions.select(F.col("id").cast("string").alias("address"), "path")), "address", "left").withColumn("address", F.coalesce(F.array_join("path", " "), F.lit(""))).drop("path")
+    return flat.select(*FLAT_COLUMNS)
+
+
+def project_texts(projects: DataFrame, person: str) -> DataFrame:
+    """person, name (of the latest project), text (of all, latest first, without tags). projects: updated_at, name, describe, responsibilities."""
+    said = F.regexp_replace(F.concat_ws(" ", F.nullif("describe", F.lit("")), F.nullif("responsibilities", F.lit(""))), "<[^>]+>", "")
+    packed = projects.groupBy(person).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("updated_at", F.lit("")).alias("u"), F.coalesce("name", F.lit("")).alias("n"), said.alias("t"))), asc=False).alias("_p"))
+    names = F.filter(F.transform("_p", lambda p: p["n"]), lambda n: n != "")
+    return packed.select(person, F.get(names, 0).alias("name"), F.array_join(F.filter(F.transform("_p", lambda p: p["t"]), lambda t: t != ""), " ").alias("text"))
