@@ -136,8 +136,8 @@ def json_array_of(text: Column, element: str) -> Column:
 
 def spaceless_cjk(text: Column) -> Column:
     """Drop spaces that touch a character which is neither an ASCII letter nor digit."""
-    t = F.regexp_replace(text, r"([^a-z0-9.,\)>]) +([^ ])", "$1$2")
-    return F.regexp_replace(t, r"([^ ]) +([^a-z0-9.,\(<])", "$1$2")
+    t = F.regexp_replace(text, r"(?i)([^a-z0-9.,\)>]) +([^ ])", "$1$2")
+    return F.regexp_replace(t, r"(?i)([^ ]) +([^a-z0-9.,\(<])", "$1$2")
 
 
 def preview(text: Column, most: int = 220) -> Column:
