@@ -323,7 +323,7 @@ def qa_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.format_answers(rows).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(translate(text, chr(12288), ' '), '', '')) AS folded_md5 FROM (SELECT doc_id, translate('Ａ１　' || text || '！', 'Ａ１！', 'A1!') AS text FROM documents)""")
+@query("""SELECT doc_id, md5(translate('Ａ１　' || text || '！', 'Ａ１　！', 'A1 !')) AS folded_md5 FROM documents""")
 def width_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.concat(F.lit("Ａ１　"), "text", F.lit("！"))
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold_width(wide).cast("binary")).alias("folded_md5"))
