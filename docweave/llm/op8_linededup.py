@@ -24,6 +24,7 @@ no rows. Further columns are passed through, but for those named like the three
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -74,16 +75,25 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, swap))), ",").cast("array<bigint>"), half
 
 
-def _at(docs: DataFrame) -> Column:
-    """The position of a line as one orderable number."""
+@dataclass(frozen=True)
+class Places:
+    """Positions of lines as orderable numbers: of a row with _doc and line_no, of a row's document, and of a position's."""
+
+    pos: Column
+    doc: Column | None
+    doc_of: Callable[[Column], Column] | None
+
+
+def places(docs: DataFrame) -> Places:
     known = F.when(F.col("_doc") != NO_ID, F.col("_doc"))
     low, high, size = docs.agg(F.min(known), F.max(known), F.max(F.octet_length("text"))).first()
     low, high, bits = low or 0, high or 0, (size or 1).bit_length()
     if (high - low + 2) << bits < 1 << 62:
         doc = F.when(F.col("_doc") == NO_ID, F.lit(0)).otherwise(F.col("_doc") - low + 1)
-        return F.shiftleft(doc, bits).bitwiseOR(F.col("line_no").cast("long"))
+        return Places(F.shiftleft(doc, bits).bitwiseOR(F.col("line_no").cast("long")), doc, lambda pos: F.shiftright(pos, bits))
     # ids too wide for 64 bits together with a line number
-    return F.col("_doc").cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+    wide = F.col("_doc").cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    return Places(wide + F.col("line_no").cast("decimal(10,0)"), None, None)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -91,7 +101,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("_doc", cut)
 
 
-def keyed_lines(docs: DataFrame, pos: Column, s: LineSettings) -> DataFrame:
+def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     """Every line with its position, set size, set key, parity bitmap (64 bits each for the rarer and the commoner tokens) and prefix; short lines have no prefix."""
     swap, half = rarity(docs)
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
@@ -105,7 +115,7 @@ def keyed_lines(docs: DataFrame, pos: Column, s: LineSettings) -> DataFrame:
     lines = lines.withColumns({"n": size, "_rare": rare})
     often = F.slice("_o", F.size("_rare") + 1, F.col("n") - F.size("_rare"))
     return lines.select(
-        "_doc", "line_no", pos.alias("pos"), "n", F.xxhash64("_o").alias("k1"), parity("_rare").alias("b1"), parity(often).alias("b2"), F.slice("_o", F.lit(1), needed).alias("prefix")
+        "_doc", "line_no", at.pos.alias("pos"), "n", F.xxhash64("_o").alias("k1"), parity("_rare").alias("b1"), parity(often).alias("b2"), F.slice("_o", F.lit(1), needed).alias("prefix")
     )
 
 
@@ -131,20 +141,18 @@ def _in_place(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * most >= percent * (_n(a) + _n(b))
 
 
-def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c == "token" else f"{prefix}{c}") for c in df.columns])
-
-
 def _few(df: DataFrame, s: LineSettings) -> DataFrame:
     """Marked for broadcast if it has few rows; else joins shuffle."""
     return F.broadcast(df) if df.count() <= s.broadcast_rows else df
 
 
-def verified(docs: DataFrame, pos: Column, pairs: DataFrame, s: LineSettings) -> DataFrame:
+def verified(docs: DataFrame, at: Places, pairs: DataFrame, s: LineSettings) -> DataFrame:
     """Of the pairs (later, earlier) those whose token sets are similar."""
-    named = pairs.select(F.explode(F.array("later", "earlier")).alias("pos")).distinct()
-    wanted = _few(materialize(named, "line-positions"), s)
-    lines = _lines(docs).where(F.length("line") >= 2 * s.min_tokens - 1).select(pos.alias("pos"), "line").join(wanted, "pos", "left_semi")
+    named = materialize(pairs.select(F.explode(F.array("later", "earlier")).alias("pos")).distinct(), "line-positions")
+    if at.doc is not None:  # only documents that hold a named line are split
+        ids = _few(materialize(named.select(at.doc_of(F.col("pos")).alias("_in")).distinct(), "line-docs"), s)
+        docs = docs.withColumn("_in", at.doc).join(ids, "_in", "left_semi").drop("_in")
+    lines = _lines(docs).where(F.length("line") >= 2 * s.min_tokens - 1).select(at.pos.alias("pos"), "line").join(_few(named, s), "pos", "left_semi")
     sets = materialize(lines.select("pos", F.array_distinct(_words(F.col("line"))).alias("set")), "line-sets")
     a, b = sets.select(F.col("pos").alias("later"), F.col("set").alias("sa")), sets.select(F.col("pos").alias("earlier"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -152,50 +160,51 @@ def verified(docs: DataFrame, pos: Column, pairs: DataFrame, s: LineSettings) ->
     return pairs.join(a, "later").join(b, "earlier").where(similar).select("later")
 
 
-def later_matches(docs: DataFrame, pos: Column, first: DataFrame, s: LineSettings) -> DataFrame:
+def later_matches(docs: DataFrame, at: Places, first: DataFrame, s: LineSettings) -> DataFrame:
     """Positions of first lines of a set that match an earlier first line of another."""
     postings = first.select("pos", "n", "b1", "b2", F.posexplode("prefix").alias("i", "token"))
     # a posting: token, position, set size and place in the order (one number), parity bitmap
     postings = postings.select("token", "pos", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni"), "b1", "b2")
+    # said here, as the join below would say it of one side only, and the two sides would not share their shuffle
+    postings = postings.where(" AND ".join(f"{c} IS NOT NULL" for c in postings.columns))
     group = W.partitionBy("token").orderBy("pos")
 
     def candidates(share: DataFrame) -> DataFrame:
         led = share.withColumns({f"l_{c}": F.first(c).over(group) for c in ("pos", "ni", "b1", "b2")})
         led = led.withColumn("like_first", (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent) & (_apart("", "l_") <= NEAR_BITS)).drop("l_ni", "l_b1", "l_b2")
-        a, b = _named(led, "a_"), _named(led.drop("l_pos", "like_first"), "b_")
-        meet = (F.col("b_pos") < F.col("a_pos")) & _may_match("a_", "b_", s.percent) & _in_place("a_", "b_", s.percent)
-        meet &= ~F.col("a_like_first") | (F.col("b_pos") == F.col("a_l_pos"))
-        return a.join(b, (a["token"] == b["token"]) & meet).select(F.col("a_pos").alias("later"), F.col("b_pos").alias("earlier"), F.col("a_like_first").alias("like_first"))
+        # aliases rather than new names keep the two sides' plans equal below the shuffle, which they share
+        a, b = led.alias("a"), share.alias("b")
+        meet = (F.col("b.pos") < F.col("a.pos")) & _may_match("a.", "b.", s.percent) & _in_place("a.", "b.", s.percent)
+        meet &= ~F.col("a.like_first") | (F.col("b.pos") == F.col("a.l_pos"))
+        return a.join(b, (F.col("a.token") == F.col("b.token")) & meet).select(F.col("a.pos").alias("later"), F.col("b.pos").alias("earlier"), F.col("a.like_first").alias("like_first"))
 
     shares = [materialize(candidates(postings.where(F.pmod("token", F.lit(s.passes)) == i)), f"line-candidates-{i}") for i in range(s.passes)]
     pairs = reduce(DataFrame.unionByName, shares).groupBy("later", "earlier").agg(F.max("like_first").alias("like_first"))
     pairs = materialize(pairs, "line-pairs")
     discard(*shares)
-    found = materialize(verified(docs, pos, pairs, s).distinct(), "line-matches")
+    found = materialize(verified(docs, at, pairs, s).distinct(), "line-matches")
     unsure = materialize(pairs.where("like_first").select("later").distinct().join(found, "later", "left_anti"), "line-unsure")
     if not unsure.limit(1).count():
         return found
     own = materialize(postings.join(_few(unsure.select(F.col("later").alias("pos")), s), "pos", "left_semi"), "unsure-postings")
-    tokens = materialize(own.select("token").distinct(), "unsure-tokens")
-    others = postings.join(_few(tokens, s), "token", "left_semi")
-    a, b = _named(own, "a_"), _named(others, "b_")
-    meet = (F.col("b_pos") < F.col("a_pos")) & _may_match("a_", "b_", s.percent) & _in_place("a_", "b_", s.percent)
-    rest = a.join(b, (a["token"] == b["token"]) & meet).select(F.col("a_pos").alias("later"), F.col("b_pos").alias("earlier")).distinct()
+    a, b = _few(own, s).alias("a"), postings.alias("b")
+    meet = (F.col("b.pos") < F.col("a.pos")) & _may_match("a.", "b.", s.percent) & _in_place("a.", "b.", s.percent)
+    rest = b.join(a, (F.col("a.token") == F.col("b.token")) & meet).select(F.col("a.pos").alias("later"), F.col("b.pos").alias("earlier")).distinct()
     rest = materialize(rest.join(pairs, ["later", "earlier"], "left_anti"), "line-rest")
-    return found.unionByName(verified(docs, pos, rest, s).distinct()).distinct()
+    return found.unionByName(verified(docs, at, rest, s).distinct()).distinct()
 
 
 def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
     """_doc and the sorted numbers of the lines that go, for documents that lose one."""
-    pos = _at(docs)
-    wide = materialize(keyed_lines(docs, pos, s), "lines")
+    at = places(docs)
+    wide = materialize(keyed_lines(docs, at, s), "lines")
     keys = ["k1", "b1", "b2", "n"]  # 64 hashed bits of the ordered set, 128 bits of parity and its size
     long_enough = wide.where(F.col("n") >= s.min_tokens)
     firsts = materialize(long_enough.groupBy(*keys).agg(F.min("pos").alias("first")), "line-firsts")
     first = materialize(long_enough.join(firsts, keys).where("pos = first").select("pos", "n", "b1", "b2", "prefix"), "first-lines")
     lines = materialize(long_enough.select("_doc", "line_no", "pos", *keys), "line-keys")
     discard(wide)
-    gone = later_matches(docs, pos, first, s).select(F.col("later").alias("first"), F.lit(True).alias("gone"))
+    gone = later_matches(docs, at, first, s).select(F.col("later").alias("first"), F.lit(True).alias("gone"))
     marked = materialize(firsts.join(gone, "first", "left"), "line-verdicts")
     discard(first, firsts)
     every = lines.join(marked, keys).where("pos <> first OR gone").select("_doc", "line_no")
