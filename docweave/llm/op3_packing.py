@@ -48,7 +48,7 @@ class PackSettings:
     capacity: int = 2048
     separator: int = 1
     tolerance: int = 8
-    cache_words: int = 1_000_000
+    cache_words: int = 600_000
 
 
 def word_class(length: int, capacity: int) -> int:
@@ -181,7 +181,7 @@ def cut_documents(docs: DataFrame, settings: PackSettings) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(settings.tokenizer, settings.cache_words)
         names = [c.split()[0] for c in PIECES.split(", ")]
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 256, 1 << 20):
             texts = tokenizer.encode(batch.column(1).to_pylist())
             rows = [r for d, ids in zip(batch.column(0).to_pylist(), texts, strict=True) for r in piece_rows(d, ids, settings)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)

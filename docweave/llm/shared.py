@@ -72,6 +72,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: in
                 step //= 2
             yield batch.slice(at, step)
             at += step
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
