@@ -502,12 +502,12 @@ def json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.json_chunks(docs, "conv_id", "json")
 
 
-@query("SELECT doc_id, 1::BIGINT AS n_tables, md5(text || chr(10)) AS rest_md5 FROM documents WHERE NOT contains(text, '|') UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE contains(text, '|')")
+@query("SELECT doc_id, 1::BIGINT AS n_tables, md5(text || chr(10)) AS rest_md5 FROM documents WHERE NOT contains(text, '|') UNION ALL SELECT doc_id, 0::BIGINT, '' FROM documents WHERE contains(text, '|')")
 def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipe table under each document is found and taken out; documents with pipes of their own are only counted."""
+    """A pipe table under each document is found and taken out; documents with pipes of their own are left out of the search."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.contains("text", F.lit("|")).alias("own"), F.concat("text", F.lit("\n| a | b |\n|---|:-:|\n| 1 | 2 |\n")).alias("text"))
     made = splitters.markdown_tables(docs.where("NOT own"), "doc_id", "text").select("doc_id", F.size("tables").cast("long").alias("n_tables"), F.md5(F.col("remainder").cast("binary")).alias("rest_md5"))
-    return made.unionByName(docs.where("own").select("doc_id", F.lit(None).cast("long").alias("n_tables"), F.lit(None).cast("string").alias("rest_md5")))
+    return made.unionByName(docs.where("own").select("doc_id", F.lit(0).cast("long").alias("n_tables"), F.lit("").alias("rest_md5")))
 
 
 @query()

@@ -1,8 +1,7 @@
 """Every registered query with SQL, against DuckDB on the smallest tables."""
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 from docweave.plans import registry
@@ -21,7 +20,7 @@ def con():
 
 def rows(df):
     def clean(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)) or v != v:
+        if pd.isna(v):
             return None
         return round(float(v), 9) if isinstance(v, float) else str(v)
 
