@@ -14,7 +14,8 @@ then line number, whether or not that one goes as well) has a Jaccard similarity
    a group of near copies thus gives a pair for each member, not for each two.
 5. Pairs are verified on the token sets themselves. Lines whose comparison with an earliest line
    failed, and that nothing else matched, meet all their candidates in a second join.
-6. What is not kept of each document is joined to it by doc_id, which moves each text once.
+6. What is not kept of each document is joined to it by doc_id: broadcast while it is small, else in a
+   shuffle that moves each text once.
 
 Defined results: null text has no lines and stays null; documents that lose every line keep an empty text in
 `deduplicate` (and `lines_left` 0); a null doc_id sorts before all others; rows that share a doc_id
@@ -205,7 +206,8 @@ def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
     lines = materialize(long_enough.select("_doc", "line_no", "pos", *keys), "line-keys")
     discard(wide)
     gone = later_matches(docs, at, first, s).select(F.col("later").alias("first"), F.lit(True).alias("gone"))
-    marked = materialize(firsts.join(gone, "first", "left"), "line-verdicts")
+    gone = materialize(gone, "gone-lines")
+    marked = materialize(firsts.join(_few(gone, s), "first", "left"), "line-verdicts")
     discard(first, firsts)
     every = lines.join(marked, keys).where("pos <> first OR gone").select("_doc", "line_no")
     return every.groupBy("_doc").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
@@ -217,6 +219,9 @@ def deduplicate(docs: DataFrame, s: LineSettings = LineSettings()) -> DataFrame:
     row = fresh(docs, "row")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), "text", F.struct(*docs.columns).alias(row))
     gone = materialize(removed_lines(keyed.select("_doc", "text"), s), "removed-lines")  # the last reader of the tables before it
+    size = gone.agg(F.count("*"), F.sum(F.size("removed"))).first()
+    if size[0] <= s.broadcast_rows and (size[1] or 0) <= 4 * s.broadcast_rows:
+        gone = F.broadcast(gone)  # then no text moves; beyond that both sides shuffle by document
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     out = keyed.select("_doc", row).join(gone, "_doc", "left").select(row, removed.alias("removed"))
     old = F.col(row)["text"]
