@@ -198,7 +198,13 @@ def later_matches(docs: DataFrame, at: Places, first: DataFrame, s: LineSettings
 def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
     """_doc and the sorted numbers of the lines that go, for documents that lose one."""
     at = places(docs)
-    wide = materialize(keyed_lines(docs, at, s), "lines")
+    spark, name = docs.sparkSession, "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")  # the literal order would fill the driver's plan descriptions
+    try:
+        wide = materialize(keyed_lines(docs, at, s), "lines")
+    finally:
+        spark.conf.set(name, before)
     keys = ["k1", "b1", "b2", "n"]  # 64 hashed bits of the ordered set, 128 bits of parity and its size
     long_enough = wide.where(F.col("n") >= s.min_tokens)
     firsts = materialize(long_enough.groupBy(*keys).agg(F.min("pos").alias("first")), "line-firsts")
