@@ -10,7 +10,7 @@ then line number, whether or not that one goes as well) has a Jaccard similarity
 3. Lines of equal sets fall together by their keys; the earliest of each set goes on.
 4. Prefixes join by token under the length filter, the positional filter (what can still be shared
    given both places in the order) and a parity filter (two sets' parity bitmaps differ in at most
-   as many of 128 bits as tokens are in one set only). A line that looks like its token's earliest line is compared with that one only;
+   as many of 128 bits as tokens are in one set only). A line that passes them with its token's earliest line, and looks like it, is compared with that one only;
    a group of near copies thus gives a pair for each member, not for each two.
 5. Pairs are verified on the token sets themselves. Lines whose comparison with an earliest line
    failed, and that nothing else matched, meet all their candidates in a second join.
@@ -172,7 +172,9 @@ def later_matches(docs: DataFrame, at: Places, first: DataFrame, s: LineSettings
 
     def candidates(share: DataFrame) -> DataFrame:
         led = share.withColumns({f"l_{c}": F.first(c).over(group) for c in ("pos", "ni", "b1", "b2")})
-        led = led.withColumn("like_first", (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent) & (_apart("", "l_") <= NEAR_BITS)).drop("l_ni", "l_b1", "l_b2")
+        # only where the join below makes the pair with the first line, whose failing then shows
+        like = (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent) & _in_place("", "l_", s.percent)
+        led = led.withColumn("like_first", like & (_apart("", "l_") <= NEAR_BITS)).drop("l_ni", "l_b1", "l_b2")
         # aliases rather than new names keep the two sides' plans equal below the shuffle, which they share
         a, b = led.alias("a"), share.alias("b")
         meet = (F.col("b.pos") < F.col("a.pos")) & _may_match("a.", "b.", s.percent) & _in_place("a.", "b.", s.percent)
