@@ -50,6 +50,11 @@ class LineSettings:
     broadcast_rows: int = 500_000
 
 
+def _holds(s: LineSettings) -> Column:
+    """Whether a line can have min_tokens tokens; a blank one has none."""
+    return (F.length("line") >= 2 * s.min_tokens - 1) & F.col("line").rlike(r"[^\x20\x09-\x0D]")
+
+
 def _words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(BLANKS)), SPACE_PATTERN)
 
@@ -107,7 +112,7 @@ def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     swap, half = rarity(docs)
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     order = F.transform(hashes, lambda h: h.bitwiseXOR(F.get(swap, F.shiftrightunsigned(h, 48).cast("int"))))
-    lines = _lines(docs).where(F.length("line") >= 2 * s.min_tokens - 1).select("_doc", "line_no", F.sort_array(order).alias("_o"))
+    lines = _lines(docs).where(_holds(s)).select("_doc", "line_no", F.sort_array(order).alias("_o"))
     size = F.size("_o")
     needed = F.when(size >= s.min_tokens, size - F.expr(f"({s.percent} * size(_o) + 99) div 100").cast("int") + 1).otherwise(F.lit(0))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
@@ -153,7 +158,7 @@ def verified(docs: DataFrame, at: Places, pairs: DataFrame, s: LineSettings) ->
     if at.doc is not None:  # only documents that hold a named line are split
         ids = _few(materialize(named.select(at.doc_of(F.col("pos")).alias("_in")).distinct(), "line-docs"), s)
         docs = docs.withColumn("_in", at.doc).join(ids, "_in", "left_semi").drop("_in")
-    lines = _lines(docs).where(F.length("line") >= 2 * s.min_tokens - 1).select(at.pos.alias("pos"), "line").join(_few(named, s), "pos", "left_semi")
+    lines = _lines(docs).where(_holds(s)).select(at.pos.alias("pos"), "line").join(_few(named, s), "pos", "left_semi")
     sets = materialize(lines.select("pos", F.array_distinct(_words(F.col("line"))).alias("set")), "line-sets")
     a, b = sets.select(F.col("pos").alias("later"), F.col("set").alias("sa")), sets.select(F.col("pos").alias("earlier"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
