@@ -14,13 +14,13 @@ then line number, whether or not that one goes as well) has a Jaccard similarity
    a group of near copies thus gives a pair for each member, not for each two.
 5. Pairs are verified on the token sets themselves. Lines whose comparison with an earliest line
    failed, and that nothing else matched, meet all their candidates in a second join.
-6. What is not kept of each document is joined to it by doc_id: broadcast while it is small, else in a
+6. What is not kept of each document is joined to it by doc_id and the hash of its text: broadcast while it is small, else in a
    shuffle that moves each text once.
 
 Defined results: null text has no lines and stays null; documents that lose every line keep an empty text in
 `deduplicate` (and `lines_left` 0); a null doc_id sorts before all others; rows that share a doc_id
-share line positions, and lines at one position don't remove each other; an empty table gives
-no rows. Further columns are passed through, but for those named like the three that are added.
+are ordered by a hash of their texts, and of equal texts under one doc_id neither removes the other's
+line at the same place; an empty table gives no rows. Further columns are passed through, but for those named like the three that are added.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
 
 @dataclass(frozen=True)
 class Places:
-    """Positions of lines as orderable numbers: of a row with _doc and line_no, of a row's document, and of a position's."""
+    """Orderable positions of lines: of a row with _doc, _row and line_no, of a row's document, and of a position's."""
 
     pos: Column
     doc: Column | None
@@ -92,7 +92,10 @@ class Places:
 
 def places(docs: DataFrame) -> Places:
     known = F.when(F.col("_doc") != NO_ID, F.col("_doc"))
-    low, high, size = docs.agg(F.min(known), F.max(known), F.max(F.octet_length("text"))).first()
+    ids = docs.where("text IS NOT NULL").groupBy("_doc").agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.max(F.octet_length("text")).alias("n"))
+    low, high, size, shared = ids.agg(F.min(known), F.max(known), F.max("n"), F.bool_or(F.col("a") != F.col("b"))).first()
+    if shared:  # different texts under one id, which a number of the id and the line can't tell apart
+        return Places(F.struct("_doc", "_row", "line_no"), F.struct("_doc", "_row"), lambda pos: F.struct(pos["_doc"].alias("_doc"), pos["_row"].alias("_row")))
     low, high, bits = low or 0, high or 0, (size or 1).bit_length()
     if (high - low + 2) << bits < 1 << 62:
         doc = F.when(F.col("_doc") == NO_ID, F.lit(0)).otherwise(F.col("_doc") - low + 1)
@@ -104,7 +107,7 @@ def places(docs: DataFrame) -> Places:
 
 def _lines(docs: DataFrame) -> DataFrame:
     cut = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return docs.where("text IS NOT NULL").select("_doc", cut)
+    return docs.where("text IS NOT NULL").select("_doc", "_row", cut)
 
 
 def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
@@ -112,7 +115,7 @@ def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     swap, half = rarity(docs)
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     order = F.transform(hashes, lambda h: h.bitwiseXOR(F.get(swap, F.shiftrightunsigned(h, 48).cast("int"))))
-    lines = _lines(docs).where(_holds(s)).select("_doc", "line_no", F.sort_array(order).alias("_o"))
+    lines = _lines(docs).where(_holds(s)).select("_doc", "_row", "line_no", F.sort_array(order).alias("_o"))
     size = F.size("_o")
     needed = F.when(size >= s.min_tokens, size - F.expr(f"({s.percent} * size(_o) + 99) div 100").cast("int") + 1).otherwise(F.lit(0))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
@@ -121,7 +124,7 @@ def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     lines = lines.withColumns({"n": size, "_rare": rare})
     often = F.slice("_o", F.size("_rare") + 1, F.col("n") - F.size("_rare"))
     return lines.select(
-        "_doc", "line_no", at.pos.alias("pos"), "n", F.xxhash64("_o").alias("k1"), parity("_rare").alias("b1"), parity(often).alias("b2"), F.slice("_o", F.lit(1), needed).alias("prefix")
+        "_doc", "_row", "line_no", at.pos.alias("pos"), "n", F.xxhash64("_o").alias("k1"), parity("_rare").alias("b1"), parity(often).alias("b2"), F.slice("_o", F.lit(1), needed).alias("prefix")
     )
 
 
@@ -203,7 +206,7 @@ def later_matches(docs: DataFrame, at: Places, first: DataFrame, s: LineSettings
 
 
 def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
-    """_doc and the sorted numbers of the lines that go, for documents that lose one."""
+    """_doc, _row and the sorted numbers of the lines that go, for documents that lose one."""
     at = places(docs)
     spark, name = docs.sparkSession, "spark.sql.maxPlanStringLength"
     before = spark.conf.get(name)
@@ -216,27 +219,28 @@ def removed_lines(docs: DataFrame, s: LineSettings) -> DataFrame:
     long_enough = wide.where(F.col("n") >= s.min_tokens)
     firsts = materialize(long_enough.groupBy(*keys).agg(F.min("pos").alias("first")), "line-firsts")
     first = materialize(long_enough.join(firsts, keys).where("pos = first").select("pos", "n", "b1", "b2", "prefix"), "first-lines")
-    lines = materialize(long_enough.select("_doc", "line_no", "pos", *keys), "line-keys")
+    lines = materialize(long_enough.select("_doc", "_row", "line_no", "pos", *keys), "line-keys")
     discard(wide)
     gone = later_matches(docs, at, first, s).select(F.col("later").alias("first"), F.lit(True).alias("gone"))
     gone = materialize(gone, "gone-lines")
     marked = materialize(firsts.join(_few(gone, s), "first", "left"), "line-verdicts")
     discard(first, firsts)
-    every = lines.join(marked, keys).where("pos <> first OR gone").select("_doc", "line_no")
-    return every.groupBy("_doc").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    every = lines.join(marked, keys).where("pos <> first OR gone").select("_doc", "_row", "line_no")
+    return every.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, s: LineSettings = LineSettings()) -> DataFrame:
     """The documents with text rid of later matches, and n_lines, removed (line numbers from 0) and lines_left."""
     made = ("n_lines", "removed", "lines_left")
     row = fresh(docs, "row")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), "text", F.struct(*docs.columns).alias(row))
-    gone = materialize(removed_lines(keyed.select("_doc", "text"), s), "removed-lines")  # the last reader of the tables before it
+    # a document is its id and its text's hash: ids may be null or repeated, and equal rows lose equal lines
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_row"), "text", F.struct(*docs.columns).alias(row))
+    gone = materialize(removed_lines(keyed.select("_doc", "_row", "text"), s), "removed-lines")  # the last reader of the tables before it
     size = gone.agg(F.count("*"), F.sum(F.size("removed"))).first()
     if size[0] <= s.broadcast_rows and (size[1] or 0) <= 4 * s.broadcast_rows:
         gone = F.broadcast(gone)  # then no text moves; beyond that both sides shuffle by document
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    out = keyed.select("_doc", row).join(gone, "_doc", "left").select(row, removed.alias("removed"))
+    out = keyed.select("_doc", "_row", row).join(gone, ["_doc", "_row"], "left").select(row, removed.alias("removed"))
     old = F.col(row)["text"]
     lines = F.split(old, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))

@@ -44,3 +44,20 @@ def test_short_lines_if_asked(spark):
     want = {at for at in want if lines[at].strip()}
     assert (5, 0) in want and (10, 0) in want and (1, 4) in want
     assert removed(spark, rows, s) == want
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Each row loses its own lines only, whether ids are null or repeated; no line is lost twice over."""
+    text = lambda name, n: [f"{name}{i} is a line of its own{name}{i}" for i in range(n)]
+    for shared, first in ((None, None), (7, -1)):
+        short, long = ["head of the short text here"], text("a", 4) + ["one two three four five six"] + text("b", 2)
+        third = ["one two three four five six"] + text("c", 3)
+        rows = [(first, "\n".join(third)), (shared, "\n".join(short)), (shared, "\n".join(long)), (shared, None), (8, "\n".join(text("c", 1) + text("d", 2)))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = [r for r in deduplicate(df).collect()]
+        assert len(got) == len(rows)
+        kept = [x for r in got if r.text is not None for x in r.text.split("\n")]
+        want = set(short + long + third + text("d", 2))
+        assert sorted(kept) == sorted(want)
+        for r in got:
+            assert r.lines_left == (0 if r.text is None else len(r.text.split("\n"))) == r.n_lines - len(r.removed)
