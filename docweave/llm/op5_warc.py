@@ -7,7 +7,7 @@ block and payload digests of their own; record identifiers are name-based, so re
 Everything is a column expression, so a record is made where its page is read and nothing is shuffled.
 
 The text of a page is its body without scripts, styles, templates and comments; block elements end lines, other
-tags vanish, the common entities are resolved, runs of blanks shrink to one and blank lines go.
+tags vanish, numeric entities and the seven common named ones are resolved (other names stay), runs of blanks shrink to one and blank lines go.
 
 Defined results: a null url has an empty target, null html has an empty body (and an empty text,
 whose conversion record stays, so that links hold); a null page_id enters the identifiers as `null`;
@@ -21,10 +21,23 @@ from pyspark.sql import functions as F
 
 #: Entities that are resolved by name; `&amp;` comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Numeric entities but for the ampersand's.
+NUMERIC = r"&#(?!0*38;|[xX]0*26;)(?:0*[0-9]{1,7}|[xX]0*[0-9a-fA-F]{1,6});"
+#: What HTML reads the numbers 128 to 159 as.
+C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 EPOCH = "2024-01-01T00:00:00Z"
 
 
+def _character(entity: Column) -> Column:
+    """Of a numeric entity; no-break spaces are spaces as `&nbsp;` is, and what is no character is U+FFFD."""
+    digits = F.regexp_extract(entity, "([0-9a-fA-F]+);", 1)
+    code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    old = F.substring(F.lit(C1), (code - 127).cast("int"), F.lit(1))
+    return F.when(code == 160, F.lit(" ")).when(wrong, F.lit("\ufffd")).when(code.between(128, 159), old).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def plain_text(html: Column) -> Column:
     t = F.coalesce(html, F.lit(""))
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
@@ -32,14 +45,20 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"[\t\n\x0B\f\r ]+", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BLOCKS})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, value in ENTITIES:
+    for name, value in ENTITIES[:-1]:
         t = F.replace(t, F.lit(name), F.lit(value))
+    numeric = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(NUMERIC), 0))
+    t = F.aggregate(numeric, t, lambda done, entity: F.replace(done, entity, _character(entity)))
+    t = F.regexp_replace(t, "&(amp|#0*38|#[xX]0*26);", "&")  # last and at once, so that nothing is resolved twice
     t = F.regexp_replace(t, r" *\n[ \n]*", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"[ ]+", " "), r"^[ \n]+|[ \n]+$", "")
 
 
 def outlinks(html: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""), 1))
+    """Distinct values of href in links, in double quotes, single quotes or none."""
+    value = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(value), 1)
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
 def title(html: Column) -> Column:
