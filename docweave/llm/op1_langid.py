@@ -93,8 +93,8 @@ def bit_margins(model_weights: np.ndarray, slots: list[np.ndarray]) -> np.ndarra
 
 def fit(docs: DataFrame, settings: LangSettings) -> LangModel | None:
     s = settings
-    seen = docs.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    sample = labelled_sample(docs, seen.select("doc_id", "lang").distinct(), "lang", s.sample_per_lang, s.sample_rows, s.sample_chars)
+    seen = docs.where(crc_mod(F.col("doc_id"), 4) != 2)
+    sample = labelled_sample(seen, "lang", s.sample_per_lang, s.sample_rows, s.sample_chars)
     sample = [(t, k) for t, k in sample if LETTER.search(t)]
     langs = sorted({k for _, k in sample})
     if not langs:

@@ -119,7 +119,7 @@ c AS (SELECT s.doc_id, s.source, s.size, source_size, target, CASE WHEN source_s
 k AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
 SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken FROM k""",
     "op8_linededup": f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-u AS (SELECT doc_id, line_no, s, len(s) AS n FROM (SELECT doc_id, line_no, list_distinct(regexp_extract_all(line, '{_WORD}')) AS s FROM l) WHERE len(s) >= 5),
+u AS (SELECT doc_id, line_no, s, len(s) AS n FROM (SELECT doc_id, line_no, list_distinct(regexp_extract_all(line, '{_WORD}')) AS s FROM l) WHERE len(s) >= 1),
 x AS (SELECT doc_id, line_no, n, unnest(s) AS w FROM u), f AS (SELECT w, count(*) AS f FROM x GROUP BY w),
 p AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY f, w) AS r FROM x JOIN f USING (w)) WHERE r <= n - (80 * n + 99) // 100 + 1),
 c AS (SELECT DISTINCT a.doc_id AS ad, a.line_no AS al, b.doc_id AS bd, b.line_no AS bl FROM p a JOIN p b ON a.w = b.w AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.line_no < a.line_no) AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),

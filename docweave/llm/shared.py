@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_folder: dict[str, str] = {}
+#: Paths written in each open `discarding`, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
@@ -42,17 +45,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
+        if _scopes:
+            _scopes[-1].append(path)  # a write that fails leaves files too
     made = spark.read.schema(df.schema).parquet(path)
     made.written_to = path
     return made
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, df.written_to)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete, at the end or on failure, all tables that are materialized inside but for those given to the yielded function.
+
+    Those are what a lazy result reads; they pass to the scope around this one, if there is one, and else stay.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "written_to", ""))
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            if path not in kept:
+                delete_path(spark, path)
+        if _scopes:
+            _scopes[-1].extend(path for path in made if path in kept)
 
 
 def small_batches(spark: SparkSession, most_rows: int = 1000) -> None:
@@ -97,37 +133,36 @@ def ascii_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), lambda w: w != "")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, per_key: int, most_rows: int, most_chars: int) -> list[tuple[str, object]]:
-    """(text, key) pairs on the driver: at most per_key a key value, most_rows and most_chars in all.
+def labelled_sample(rows: DataFrame, key: str, per_key: int, most_rows: int, most_chars: int) -> list[tuple[str, object]]:
+    """(text, key) pairs on the driver: at most per_key a key value, and in all most_rows (or one a key value) and most_chars.
 
-    docs: doc_id and text; labels: doc_id and key. Ids hash into per_key slots and the smallest hash of
-    a slot stays, so choosing is one partial aggregation and a hot key costs no more than any other.
-    Keys take turns, so that most_rows and most_chars cut all alike. Null ids, texts and keys aren't sampled.
+    rows: doc_id, text and key. Ids hash into per_key slots for each key value and the smallest hash of a slot stays, so
+    choosing is one partial aggregation, a hot key or id costs no more than any other, and what reaches the driver is
+    per_key numbers a key value. Keys take turns, so that most_rows and most_chars cut all alike and no key value is lost to
+    most_rows. Of the rows that share an id and key the shortest text counts. Null ids, texts and keys aren't sampled.
     """
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull()).select("doc_id", "text", F.col(key).alias("_key"))
     mixed = F.xxhash64(F.col("doc_id"), F.lit(17))
-    sized = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.length("text").alias("_n"))
-    keyed = sized.join(labels.where(F.col(key).isNotNull()).select("doc_id", key), "doc_id")
-    picked = (
-        keyed.groupBy(key, F.pmod(mixed, F.lit(per_key)).alias("_slot"))
-        .agg(F.min(F.struct(mixed.alias("h"), "doc_id", "_n")).alias("m"))
-        .select(key, "m.doc_id", "m._n")
-        .limit(8 * most_rows)
-        .collect()
-    )
+    slots = rows.groupBy("_key", F.pmod(mixed, F.lit(per_key)).alias("_slot"))
+    picked = slots.agg(F.min(F.struct(mixed.alias("h"), "doc_id", F.length("text").alias("n"))).alias("m")).select("_key", "m.doc_id", "m.n").collect()
     by_key: dict[object, list[tuple[int, int]]] = {}
     for k, doc_id, n in sorted(picked, key=lambda r: (str(r[0]), r[1])):
         by_key.setdefault(k, []).append((doc_id, n))
     chosen: dict[int, object] = {}
     total = 0
     for _, _, k, doc_id, n in sorted((i, str(k), k, d, n) for k, ds in by_key.items() for i, (d, n) in enumerate(ds)):
-        if len(chosen) == most_rows:
+        if len(chosen) >= max(most_rows, len(by_key)):
             break
         if doc_id not in chosen and total + n <= most_chars:
             chosen[doc_id] = k
             total += n
     if not chosen:
         return []
-    texts: dict[int, str] = {}
-    for r in docs.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).select("doc_id", "text").collect():
-        texts[r[0]] = min(r[1], texts.get(r[0], r[1]))
-    return [(texts[d], k) for d, k in chosen.items() if d in texts]
+    wanted = rows.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id", "_key").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("m"))
+    texts = {(r[0], r[1]): r[2] for r in wanted.select("doc_id", "_key", "m.text").collect() if chosen[r[0]] == r[1]}
+    return [(texts[d, k], k) for d, k in chosen.items()]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """doc_id, text and key of the labelled documents; repeated labels count once."""
+    return docs.select("doc_id", "text").join(labels.where(F.col("doc_id").isNotNull() & F.col(key).isNotNull()).select("doc_id", key).distinct(), "doc_id")

@@ -396,31 +396,25 @@ def test_shares_are_met(spark):
 # ------------------------------------------------------------------ 8 lines
 
 
-def plain_removed(rows, percent, least):
-    lines = [((-1 if d is None else d, i), set(WORD.findall(x))) for d, t, *_ in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    out = set()
+def plain_removed(rows, percent=80):
+    """By (doc_id, copy of the row): the line numbers that an earlier line matches; all pairs."""
+    order = sorted((-1 << 70 if d is None else d, i) for i, (d, t, *_) in enumerate(rows) if t is not None)
+    lines = [((n, i), set(WORD.findall(x))) for n, (_, at) in enumerate(order) for i, x in enumerate(rows[at][1].split("\n"))]
+    gone = {n: [] for n in range(len(order))}
     for at, s in lines:
-        if len(s) >= least and any(p < at and 100 * len(s & o) >= percent * len(s | o) for p, o in lines if len(o) >= least):
-            out.add(at)
-    return out
+        if s and any(p < at and o and 100 * len(s & o) >= percent * len(s | o) for p, o in lines):
+            gone[at[0]].append(at[1])
+    return sorted(((rows[at][0], rows[at][1], gone[n]) for n, (_, at) in enumerate(order)), key=str)
 
 
 @pytest.mark.parametrize("passes", [1, 3])
 def test_lines(docs, rows, passes):
-    s = LineSettings(passes=passes)
-    got = deduplicate(docs, s).toPandas()
-    want = plain_removed(rows, s.percent, s.min_tokens)
+    got = deduplicate(docs, LineSettings(passes=passes)).collect()
     assert len(got) == len(rows)
-    for r in got.itertuples():
-        d = -1 if r.doc_id != r.doc_id else int(r.doc_id)
-        text = next(t for x, t, *_ in rows if (-1 if x is None else x) == d)
-        if text is None:
-            assert r.text is None and r.n_lines == 0
-            continue
-        lines = text.split("\n")
-        gone = sorted(i for p, i in want if p == d)
-        assert list(r.removed) == gone and r.n_lines == len(lines) and r.lines_left == len(lines) - len(gone)
-        assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert [(r.n_lines, list(r.removed), r.lines_left) for r in got if r.text is None] == [(0, [], 0)]
+    want = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone), gone, t.count("\n") + 1) for d, t, gone in plain_removed(rows)]
+    assert sorted(((r.doc_id, r.text, list(r.removed), r.n_lines) for r in got if r.text is not None), key=str) == sorted(want, key=str)
+    assert all(r.lines_left == r.n_lines - len(r.removed) for r in got)
 
 
 def test_lines_of_wide_ids_and_near_copies(spark):
@@ -432,14 +426,15 @@ def test_lines_of_wide_ids_and_near_copies(spark):
             words[(i * 7 + j * 5) % 40] = f"n{i}_{j}"
         rows.append(((i - 30) * (1 << 56), "head\n" + " ".join(words)))
     got = {r.doc_id: list(r.removed) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    want = plain_removed([(d, t) for d, t in rows], 80, 5)
-    wide = {(d, i) for d, t in rows for i in got[d]}
-    plain = set()
-    sets = [((d, 1), set(t.split("\n")[1].split())) for d, t in rows]
-    for at, s in sets:
-        if any(p < at and 100 * len(s & o) >= 80 * len(s | o) for p, o in sets):
-            plain.add(at)
-    assert wide == plain == want
+    assert got == {d: gone for d, _, gone in plain_removed(rows)}
+
+
+def test_lines_of_very_long_texts(spark):
+    """Cutting is linear in a document's lines: half of 60,000 go."""
+    rows = [(1, "\n".join(f"line {i} a{i} b{i} c{i}" for i in range(30_000))), (2, "\n".join(f"line {i} {'a' if i % 2 else 'z'}{i} {'b' if i % 2 else 'y'}{i} c{i}" for i in range(60_000)))]
+    got = {r.doc_id: r for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].removed == [] and got[2].removed == list(range(1, 30_000, 2))
+    assert got[2].text.split("\n")[:2] == ["line 0 z0 y0 c0", "line 2 z2 y2 c2"]
 
 
 def test_lines_of_nothing(empty, clashing):

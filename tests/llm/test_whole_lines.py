@@ -8,10 +8,10 @@ from docweave.llm.op8_linededup import LineSettings, deduplicate
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def similar_earlier(rows, percent=80, least=5):
+def similar_earlier(rows, percent=80):
     """(doc_id, line number) of the lines that an earlier one matches; all pairs."""
     lines = [((d, i), set(WORD.findall(x))) for d, t in rows for i, x in enumerate(t.split("\n"))]
-    return {at for at, s in lines if len(s) >= max(least, 1) and any(p < at and len(o) >= least and 100 * len(s & o) >= percent * len(s | o) for p, o in lines)}
+    return {at for at, s in lines if s and any(p < at and o and 100 * len(s & o) >= percent * len(s | o) for p, o in lines)}
 
 
 def removed(spark, rows, s=LineSettings()):
@@ -35,15 +35,14 @@ def test_lines_unlike_their_tokens_first_line(spark):
     assert removed(spark, rows) == want
 
 
-def test_short_lines_if_asked(spark):
-    """min_tokens=1 takes every line with a token; blank lines have none and stay."""
+def test_short_lines(spark):
+    """Every line with a token counts; blank lines have none and stay."""
     rows = [(i, "Read more\n \n\na b c d\n" + ("a b c d e" if i % 2 else " \t \nd c b a")) for i in range(6)] + [(9, "Read"), (10, "more Read Read")]
-    s = LineSettings(min_tokens=1)
-    want = similar_earlier([(d, t) for d, t in rows], least=1)
+    want = similar_earlier(rows)
     lines = {(d, i): x for d, t in rows for i, x in enumerate(t.split("\n"))}
     want = {at for at in want if lines[at].strip()}
     assert (5, 0) in want and (10, 0) in want and (1, 4) in want
-    assert removed(spark, rows, s) == want
+    assert removed(spark, rows) == want
 
 
 def test_lines_of_rows_that_share_an_id(spark):
