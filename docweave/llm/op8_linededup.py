@@ -4,7 +4,7 @@ A line is the set of its white-space-separated tokens; a blank line has none and
 earlier line (by doc_id, then line number, whether or not that one goes as well) has a Jaccard similarity of at least
 `percent` hundredths.
 
-1. Token counts of the whole table, in 2**16 hashed classes, give the order of rarity. Any one order is correct; the
+1. Token counts of the whole table, in 2**18 hashed classes, give the order of rarity. Any one order is correct; the
    classes only make the table of counts bounded, so that it can be a literal.
 2. Each line keeps its prefix: its rarest tokens, so many that two similar lines must share one.
 3. Lines of equal sets fall together by their keys, pre-aggregated before the shuffle; the earliest of each set goes on.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.shared import SPACE_PATTERN, discard, discarding, materialize
 
-CLASS_BITS = 16
+CLASS_BITS = 18
 NO_ID = -(1 << 63)
 #: Bitmaps of unrelated long lines differ in about 64 of 128 bits; at most so many count as looking alike.
 NEAR_BITS = 36
@@ -77,8 +77,10 @@ def rarity(docs: DataFrame) -> tuple[Callable[[Column], Column], int]:
     n = 1 << CLASS_BITS
     tokens = _lines(docs).select(F.explode(_words(F.col("line"))).alias("t")).where("t <> ''")
     counts = [0] * n
-    for c, k in tokens.groupBy(_class(F.xxhash64("t")).alias("c")).count().collect():  # at most 2**CLASS_BITS rows
-        counts[c] = k
+    # four classes a group, so that the groups of a task fit the small map that aggregations try first
+    four = tokens.select(_class(F.xxhash64("t")).alias("c")).groupBy(F.shiftright("c", 2).alias("g")).agg(*[F.count(F.when(F.col("c").bitwiseAND(3) == j, 1)).alias(f"n{j}") for j in range(4)])
+    for g, *k in four.collect():  # at most 2**(CLASS_BITS - 2) rows
+        counts[4 * g : 4 * g + 4] = k
     swap = [0] * n
     half, passed, total = 0, 0, sum(counts)
     for rank, c in enumerate(sorted(range(n), key=counts.__getitem__)):
@@ -118,10 +120,9 @@ def places(docs: DataFrame) -> tuple[DataFrame, Places]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line that isn't blank, beside its document's key columns."""
+    """Every line beside its document's key columns."""
     keys = [c for c in ("_doc", "_text_hash", "_copy") if c in docs.columns]
-    cut = docs.where("text IS NOT NULL").select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.where(F.length(F.btrim("line", F.lit(" \t\x0b\f\r"))) > 0)
+    return docs.where("text IS NOT NULL").select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
@@ -213,7 +214,7 @@ def removed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     before = spark.conf.get(name)
     spark.conf.set(name, "20000")  # the literal order would fill the driver's plan descriptions
     try:
-        lines = materialize(keyed_lines(docs, at, s), "lines")
+        lines = materialize(keyed_lines(docs, at, s), "lines").where("n > 0")  # above the scan, else the filter would make each set twice
     finally:
         spark.conf.set(name, before)
     keys = ["k", "b1", "b2", "n"]
