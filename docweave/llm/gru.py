@@ -1,5 +1,9 @@
 """A small bidirectional gated recurrent network with attention pooling, in numpy.
 
+The network reads segments: `core` words with `warm` words of context on either side, so a state knows what surrounds its
+word, and each word gets one attention score and one value. A window's logit pools the values of its words by their scores.
+Sums over neighbouring words give those of all windows, whatever their number, after one reading of the text.
+
 Inputs are words. A word's vector joins a learned embedding of the hashed word with a learned
 embedding of its hashed byte n-grams, so stems are recognised under endings never seen. Both
 tables start from shrunken log-odds of the training texts in their first column, which gives the
@@ -26,7 +30,8 @@ class GruShape:
     hidden: int = 8
     attend: int = 8
     window: int = 16
-    stride: int = 8
+    warm: int = 8
+    core: int = 48
 
 
 class Vocabulary:
@@ -71,14 +76,28 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, MARKS).split()
 
 
-def windows(n: int, shape: GruShape) -> np.ndarray:
-    """Starts of the overlapping windows over n words; the last reaches the end."""
-    return np.arange(0, max(n - shape.window + shape.stride - 1, 0) // shape.stride * shape.stride + 1, shape.stride) if n else np.empty(0, np.int64)
+def segments(ids: np.ndarray, pad: int, shape: GruShape) -> np.ndarray:
+    """Rows of word numbers, each a core of the text between its context."""
+    starts = np.arange(0, len(ids), shape.core)
+    padded = np.concatenate([np.full(shape.warm, pad, ids.dtype), ids, np.full(shape.core + shape.warm, pad, ids.dtype)])
+    return padded[starts[:, None] + np.arange(shape.core + 2 * shape.warm)]
+
+
+def around(ids: np.ndarray, start: int, pad: int, shape: GruShape) -> np.ndarray:
+    """A window's word numbers between its context."""
+    row = np.full(shape.window + 2 * shape.warm, pad, ids.dtype)
+    low, high = max(start - shape.warm, 0), min(start + shape.window + shape.warm, len(ids))
+    row[low - start + shape.warm : high - start + shape.warm] = ids[low:high]
+    return row
 
 
-def window_ids(ids: np.ndarray, starts: np.ndarray, pad: int, size: int) -> np.ndarray:
-    padded = np.concatenate([ids, np.full(size, pad, ids.dtype)])
-    return padded[starts[:, None] + np.arange(size)]
+def pooled(scores: np.ndarray, values: np.ndarray, window: int) -> np.ndarray:
+    """Attention-weighted mean value of every window of a text's words; a shorter text is one window."""
+    e = np.exp(scores.astype(np.float64) - scores.max())
+    if len(e) <= window:
+        return np.array([(e * values).sum() / e.sum()])
+    view = np.lib.stride_tricks.sliding_window_view
+    return (view(e * values, window).sum(1)) / view(e, window).sum(1)
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -119,29 +138,25 @@ class Net:
             out[:, i] = state
         return out
 
-    def logits(self, gates: dict[str, np.ndarray], ids: np.ndarray, pad: int) -> np.ndarray:
-        """Of windows of word numbers; gates: the input side of every word's gates, by direction."""
+    def word_scores(self, gates: dict[str, np.ndarray], ids: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+        """Attention score and value of the core words of segments; gates: the input side of every word's gates, by direction."""
         mask = (ids != pad).astype(np.float32)
-        states = np.concatenate([self._run(gates[way][ids], mask, way, None) for way in "fb"], axis=2)
-        score = np.tanh(states @ self.p["Wa"]) @ self.p["v"]
-        score = np.where(mask > 0, score, -1e9)
-        alpha = np.exp(score - score.max(1, keepdims=True))
-        alpha /= alpha.sum(1, keepdims=True)
-        return (alpha[:, :, None] * states).sum(1) @ self.p["w"] + self.p["b"][0]
+        states = np.concatenate([self._run(gates[way][ids], mask, way, None) for way in "fb"], axis=2)[:, self.shape.warm : -self.shape.warm]
+        return np.tanh(states @ self.p["Wa"]) @ self.p["v"], states @ self.p["w"] + self.p["b"][0]
 
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         """With one row more, of zeros, for padding."""
         x = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
         return {way: x @ self.p[f"Wx_{way}"] + self.p[f"bx_{way}"] for way in "fb"}
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Of the mean weighted log loss over windows of input vectors: by parameter, and by input."""
+    def gradients(self, x: np.ndarray, mask: np.ndarray, inside: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Of the mean weighted log loss over windows between their context: by parameter, and by input vector. inside: which words are the window's."""
         p, h = self.p, self.shape.hidden
         n, t, d = x.shape
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._run(x @ p[f"Wx_{w}"] + p[f"bx_{w}"], mask, w, kept[w]) for w in "fb"], axis=2)
         act = np.tanh(states @ p["Wa"])
-        score = np.where(mask > 0, act @ p["v"], -1e9)
+        score = np.where(inside > 0, act @ p["v"], -1e9)
         alpha = np.exp(score - score.max(1, keepdims=True))
         alpha /= alpha.sum(1, keepdims=True)
         pooled = (alpha[:, :, None] * states).sum(1)

@@ -8,14 +8,14 @@ exhaustive code (every way to split them in two); more use seeded random codewor
 largest least distance.
 
 Only text and lang of rows outside the held-out part (crc32 of the id modulo 4 is 2) are learned
-from. Defined results: null text and text without a letter give `und` with score 0; with no
-language to learn every row is `und`; a null doc_id gives a row with held_out false; repeated rows
-each give a row. Other columns of the input are ignored.
+from. Defined results: null text and text without a letter (Unicode category L) give `und` with score 0; with no
+language to learn, as with an empty table, every row is `und`; a null doc_id gives a row with held_out false; repeated
+rows each give a row; of codewords at equal loss the first language by name wins, flagged as ambiguous. Long texts are
+hashed in blocks (see bit_margins). Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from docweave.llm import ngrams
 from docweave.llm.shared import crc_mod, in_slices, labelled_sample, small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, runner_up string"
 
 
@@ -74,20 +73,26 @@ class LangModel:
     orders: tuple[int, ...]
 
 
+def has_letter(text: str) -> bool:
+    """Any character of Unicode category L; numbers such as fractions and Roman numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 def slots_of(text: str, orders: tuple[int, ...], bits: int) -> list[np.ndarray]:
     data = text.lower().encode("utf-8", "surrogatepass")
     grams = ((k, ngrams.byte_ngrams(data, n)) for k, n in enumerate(orders))
     return [ngrams.fold(g, k, bits) for k, g in grams if len(g)]
 
 
-def bit_margins(model_weights: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-    """A margin for each code bit. Long texts are taken in blocks, so memory doesn't follow their length."""
-    z = model_weights[-1].astype(np.float64)
-    for s in slots:
-        total = np.zeros(model_weights.shape[1])
-        for i in range(0, len(s), 1 << 15):
-            total += model_weights[s[i : i + (1 << 15)]].sum(0, dtype=np.float64)
-        z = z + total / len(s)
+def bit_margins(weights: np.ndarray, text: str, orders: tuple[int, ...], bits: int, block: int = 1 << 15) -> np.ndarray:
+    """A margin for each code bit: the mean weights of the text's n-grams, order by order. Its n-grams are hashed and summed in blocks, so memory beyond the text's own bytes doesn't follow its length."""
+    data = text.lower().encode("utf-8", "surrogatepass")
+    z = weights[-1].astype(np.float64)
+    for k, n in enumerate(orders):
+        count = len(data) - n + 1
+        if count > 0:
+            grams = (ngrams.byte_ngrams(data[i : i + block + n - 1], n) for i in range(0, count, block))
+            z = z + sum(weights[ngrams.fold(g, k, bits)].sum(0, dtype=np.float64) for g in grams) / count
     return z
 
 
@@ -95,7 +100,7 @@ def fit(docs: DataFrame, settings: LangSettings) -> LangModel | None:
     s = settings
     seen = docs.where(crc_mod(F.col("doc_id"), 4) != 2)
     sample = labelled_sample(seen, "lang", s.sample_per_lang, s.sample_rows, s.sample_chars)
-    sample = [(t, k) for t, k in sample if LETTER.search(t)]
+    sample = [(t, k) for t, k in sample if has_letter(t)]
     langs = sorted({k for _, k in sample})
     if not langs:
         return None
@@ -146,9 +151,9 @@ def identify(docs: DataFrame, settings: LangSettings = LangSettings()) -> DataFr
 
     def one(text: str | None) -> tuple[str, float, bool, str | None]:
         m = model.value
-        if m is None or not text or not LETTER.search(text):
+        if m is None or not text or not has_letter(text):
             return "und", 0.0, True, None
-        best, second, score, gap = decode(m, bit_margins(m.weights, slots_of(text, m.orders, m.bits)))
+        best, second, score, gap = decode(m, bit_margins(m.weights, text, m.orders, m.bits))
         return m.langs[best], score, best != second and gap < settings.ambiguous_below, m.langs[second] if second != best else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-The network (see gru.py) scores every overlapping window of 16 words, eight apart, so the whole
-text is read; a document scores as its worst window. Labels are of documents, so training
-alternates: the current network picks each toxic text's worst window as a positive and the worst and a
-random window of each clean text as negatives, then takes gradient steps on them. Scores are
-calibrated (Platt) on texts held back from the steps.
-
-Labels of rows whose crc32 of the id modulo 3 is 1 are never learned from. Defined results: null
-text and text without words score 0; with fewer than two labels to learn from every score is 0; a null doc_id
-gives a row with held_out false; repeated rows each give a row. Other columns are ignored.
+The network (see gru.py) scores every overlapping window of 16 words, one word apart; a document scores as its worst
+window. Labels are of documents, so training alternates: the current network picks each toxic text's worst window as a
+positive and the worst and a random window of each clean text as negatives, then takes gradient steps on them. Scores
+are calibrated (Platt) on texts held back from the steps, weighted to the share of toxic rows among the labels.
+
+Labels of rows whose crc32 of the id modulo 3 is 1 are never learned from. Defined results: null text and text without
+words score 0; with fewer than two labels to learn from, as with an empty table, every score is 0; a null doc_id gives a
+row with held_out false; repeated rows each give a row with the same score; of equal windows the first is the worst.
+Segments go through the network in blocks, so the network's memory doesn't follow a text's length; the text's own words do,
+at some 30 bytes a word. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
-from docweave.llm.gru import Adam, GruShape, Net, Vocabulary, log_odds, split_words, window_ids, windows
+from docweave.llm.gru import Adam, GruShape, Net, Vocabulary, around, log_odds, pooled, segments, split_words
 from docweave.llm.op4_quality import calibrate
 from docweave.llm.shared import crc_mod, in_slices, labelled, labelled_sample, small_batches
 
@@ -38,8 +39,7 @@ class ToxicSettings:
     sample_chars: int = 9_000_000
     rounds: int = 5
     batch: int = 64
-    windows_at_once: int = 4096
-    weight_of_clean: float = 3.0  # the sample holds as many toxic texts as clean ones; most corpora don't
+    segments_at_once: int = 1024
     seed: int = 4
 
 
@@ -53,13 +53,19 @@ class ToxicModel:
 def score_windows(net: Net, gates: dict[str, np.ndarray], texts: list[np.ndarray], at_once: int) -> list[np.ndarray]:
     """Logits of all windows of each text of word numbers."""
     shape, pad = net.shape, len(gates["f"]) - 1
-    starts = [windows(len(t), shape) for t in texts]
-    sizes = [len(s) for s in starts]
+    grids = [segments(t, pad, shape) for t in texts]
+    sizes = [len(g) for g in grids]
     if not sum(sizes):
-        return [np.empty(0, np.float32) for _ in texts]
-    grids = np.concatenate([window_ids(t, s, pad, shape.window) for t, s in zip(texts, starts, strict=True) if len(s)])
-    out = np.concatenate([net.logits(gates, grids[i : i + at_once], pad) for i in range(0, len(grids), at_once)])
-    return np.split(out, np.cumsum(sizes)[:-1])
+        return [np.empty(0, np.float64) for _ in texts]
+    rows = np.concatenate(grids)
+    found = [net.word_scores(gates, rows[i : i + at_once], pad) for i in range(0, len(rows), at_once)]
+    scores, values = (np.concatenate([f[j] for f in found]) for j in range(2))
+    ends = np.cumsum(sizes)
+    out = []
+    for t, n, end in zip(texts, sizes, ends, strict=True):
+        of = slice(end - n, end)
+        out.append(pooled(scores[of].ravel()[: len(t)], values[of].ravel()[: len(t)], shape.window) if n else np.empty(0, np.float64))
+    return out
 
 
 def numbered(texts: list[str | None], bits: int) -> tuple[list[np.ndarray], Vocabulary]:
@@ -69,7 +75,8 @@ def numbered(texts: list[str | None], bits: int) -> tuple[list[np.ndarray], Voca
     return np.split(ids, np.cumsum([len(ws) for ws in words])[:-1]), Vocabulary(distinct, bits)
 
 
-def train(sample: list[tuple[str, int]], s: ToxicSettings) -> ToxicModel:
+def train(sample: list[tuple[str, int]], s: ToxicSettings, toxic_share: float) -> ToxicModel:
+    """toxic_share: of the rows that the sample was drawn from, by class."""
     y = np.array([k for _, k in sample])
     texts, vocab = numbered([t for t, _ in sample], s.shape.bits)
     net = Net(s.shape, s.seed)
@@ -87,29 +94,29 @@ def train(sample: list[tuple[str, int]], s: ToxicSettings) -> ToxicModel:
     for turn in range(s.rounds):
         vectors = vocab.vectors(net.words, net.chars)
         if turn:
-            scored = score_windows(net, net.gates(vectors), [texts[i] for i in use], s.windows_at_once)
-        else:
-            plain = np.append(vectors[:, 0] + vectors[:, s.shape.word_dim], 0)
-            scored = [np.sort(plain[window_ids(texts[i], windows(len(texts[i]), s.shape), len(plain) - 1, s.shape.window)], axis=1)[:, -2:].sum(1) for i in use]
+            scored = score_windows(net, net.gates(vectors), [texts[i] for i in use], s.segments_at_once)
+        else:  # by the log-odds alone: the mean of each window's words
+            plain = vectors[:, 0] + vectors[:, s.shape.word_dim]
+            scored = [pooled(2 * plain[texts[i]], plain[texts[i]], s.shape.window) for i in use]
         picked = []
         for i, z in zip(use, scored, strict=True):
-            starts = windows(len(texts[i]), s.shape)
-            chosen = [int(z.argmax())] if y[i] else [int(z.argmax()), int(rng.integers(len(z)))]
-            picked += [(i, starts[c]) for c in chosen]
+            picked += [(i, int(c)) for c in ([z.argmax()] if y[i] else [z.argmax(), rng.integers(len(z))])]
         pad = len(vectors)
         for _ in range(2):
             order = rng.permutation(len(picked))
             for at in range(0, len(order), s.batch):
                 some = [picked[j] for j in order[at : at + s.batch]]
-                ids = np.concatenate([window_ids(texts[i], np.array([b]), pad, s.shape.window) for i, b in some])
+                ids = np.stack([around(texts[i], b, pad, s.shape) for i, b in some])
                 label = np.array([y[i] for i, _ in some], np.float32)
                 mask = (ids != pad).astype(np.float32)
+                inside = mask.copy()
+                inside[:, : s.shape.warm] = inside[:, -s.shape.warm :] = 0
                 own, place = np.unique(ids, return_inverse=True)
                 own = own[own != pad]
                 part = vocab_part(vocab, grams_of, own)
                 x = np.concatenate([part.vectors(net.words, net.chars), np.zeros((1, s.shape.word_dim + s.shape.char_dim), np.float32)])
                 place = np.minimum(place.reshape(ids.shape), len(own))
-                g, dx, _ = net.gradients(x[place], mask, label, np.where(label > 0, 1.0, 0.7).astype(np.float32))
+                g, dx, _ = net.gradients(x[place], mask, inside, label, np.where(label > 0, 1.0, 0.7).astype(np.float32))
                 adam.step(net.p, g)
                 dword = np.zeros_like(x)
                 np.add.at(dword, place, dx)
@@ -119,8 +126,10 @@ def train(sample: list[tuple[str, int]], s: ToxicSettings) -> ToxicModel:
                     step_table(net.chars, g2c, part.gram, (dword[:, s.shape.word_dim :] * part.scale[:, None])[part.gram_word])
     vectors = vocab.vectors(net.words, net.chars)
     held = [i for i in np.flatnonzero(back) if len(texts[i])]
-    top = np.array([z.max() for z in score_windows(net, net.gates(vectors), [texts[i] for i in held], s.windows_at_once)])
-    slope, offset = calibrate(top.astype(np.float64), y[held], s.weight_of_clean) if held else (1.0, 0.0)
+    top = np.array([z.max() for z in score_windows(net, net.gates(vectors), [texts[i] for i in held], s.segments_at_once)])
+    toxic = y[held].sum()
+    weight = (1 - toxic_share) / toxic_share * toxic / max(len(held) - toxic, 1)  # of a clean text, so that the held-back ones stand for all
+    slope, offset = calibrate(top.astype(np.float64), y[held], weight) if held else (1.0, 0.0)
     return ToxicModel(net, slope, offset)
 
 
@@ -148,7 +157,8 @@ def step_table(values: np.ndarray, g2: np.ndarray, slots: np.ndarray, grads: np.
 def fit(docs: DataFrame, labels: DataFrame, s: ToxicSettings) -> ToxicModel | None:
     seen = labels.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("toxic").isin(0, 1))
     sample = labelled_sample(labelled(docs, seen, "toxic"), "toxic", s.sample_per_class, s.sample_rows, s.sample_chars)
-    return train(sample, s) if len({k for _, k in sample}) == 2 else None
+    share = seen.agg(F.avg("toxic")).first()[0]
+    return train(sample, s, share) if len({k for _, k in sample}) == 2 else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: ToxicSettings = ToxicSettings()) -> DataFrame:
@@ -165,10 +175,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: ToxicSettings = ToxicSetting
             if m is not None:
                 texts, vocab = numbered(batch.column(2).to_pylist(), m.net.shape.bits)
                 gates = m.net.gates(vocab.vectors(m.net.words, m.net.chars))
-                for i, z in enumerate(score_windows(m.net, gates, texts, s.windows_at_once)):
+                for i, z in enumerate(score_windows(m.net, gates, texts, s.segments_at_once)):
                     if len(z):
                         score[i] = ngrams.sigmoid(m.slope * np.float64(z.max()) + m.offset)
-                        worst[i], count[i] = int(z.argmax()) * m.net.shape.stride, len(z)
+                        worst[i], count[i] = int(z.argmax()), len(z)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= s.threshold).astype(np.int32)), pa.array(worst), pa.array(count)], names
             )

@@ -2,15 +2,17 @@
 
 Words are counted per source, each source gets a target share of all words, and the repetition rate
 target / size says how often its documents appear: floor(rate) times, plus one more if a number
-hashed from the id and a seed falls below the fraction. A target stops at `most_repeats` times the
+hashed from the id and a seed falls below the fraction. Every source takes the one of `seeds` seeds whose draws bring its words
+nearest to the target; all are tried in one aggregation over ids and sizes, a partial sum for each source and seed. A target stops at `most_repeats` times the
 source's size and the excess is shared again by weight until no source is above; that end state is
 the level L with sum(min(most_repeats * size, weight * L)) = total, found by one ordered pass over
 the sources (a row a source), not over documents.
 
 Defined results: null and empty texts have size 0; sources order by code point with null last, and
 null is a source of its own; a source of size 0 has target 0 and its documents appear at the
-overall floor of 0 times; a null doc_id hashes as the text `null`; repeated rows each count and get
-the same decision. Other columns, whatever their names, are kept by `mix_documents` and ignored by `mixing_plan`.
+overall floor of 0 times; of seeds that come equally near the least is taken; a null doc_id hashes as the text `null`; repeated
+rows each count and get the same decision; an empty table gives no rows. A text is only split to count it, so memory follows the longest one. Other
+columns, whatever their names, are kept by `mix_documents` and ignored by `mixing_plan`.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import ascii_words, materialize
+from docweave.llm.shared import ascii_words, discarding, materialize
 
 
 @dataclass(frozen=True)
 class MixSettings:
     weights: tuple[int, ...] = (5, 2, 1)
     most_repeats: int = 3
-    seed: str = "mix-1"
+    seed: str = "mix"
+    seeds: int = 32
     broadcast_sources: int = 20_000
 
 
@@ -57,33 +60,50 @@ def source_targets(sized: DataFrame, settings: MixSettings) -> DataFrame:
     return stated.select("source", "source_size", target.alias("target"))
 
 
-def chance(doc_id: Column, seed: str) -> Column:
+def chance(doc_id: Column, seed: Column) -> Column:
     """A number in [0, 1) hashed from the id; 52 bits, so exact as a double."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+    digest = F.md5(F.concat(seed, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def with_copies(docs: DataFrame, settings: MixSettings) -> DataFrame:
-    """The documents, as a struct `row`, with size, source_size, target and copies. One scan makes the totals, one joins them."""
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.size(ascii_words(F.col("text"))).cast("long").alias("size"))
-    named = sized.select(F.col("row.source").alias("source"), "size")
-    targets = materialize(source_targets(named, settings), "mix-targets")
-    if targets.count() <= settings.broadcast_sources:
-        targets = F.broadcast(targets)  # else the join shuffles, and adaptive execution splits a hot source
+def _bounded(sources: DataFrame, settings: MixSettings) -> DataFrame:
+    """Broadcast if there are few sources; else joins shuffle, and adaptive execution splits a hot source."""
+    return F.broadcast(sources) if sources.count() <= settings.broadcast_sources else sources
+
+
+def _copies(doc_id: Column, settings: MixSettings, number: str) -> Column:
+    """Copies of a document, given its source's rate and the number of a seed."""
+    extra = chance(doc_id, F.concat(F.lit(f"{settings.seed}-"), F.col(number).cast("string"))) < F.col("rate") - F.floor("rate")
+    return F.floor("rate") + extra.cast("long")
+
+
+def source_rates(sized: DataFrame, settings: MixSettings) -> DataFrame:
+    """_source, source_size, target, rate and the number of the seed that comes nearest; sized: doc_id, source and size of each document."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (chance(F.col("row.doc_id"), settings.seed) < F.col("rate") - F.floor("rate")).cast("long")
-    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source"))).withColumn("rate", rate)
-    return joined.withColumn("copies", F.floor("rate") + extra)
+    targets = materialize(source_targets(sized, settings).withColumnRenamed("source", "_source").withColumn("rate", rate), "mix-targets")
+    drawn = sized.where("size > 0").join(_bounded(targets, settings), F.col("source").eqNullSafe(F.col("_source")))
+    tried = drawn.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(settings.seeds - 1))))
+    sums = tried.groupBy("_source", "number", "target").agg(F.sum(F.col("size") * _copies(F.col("doc_id"), settings, "number")).alias("taken"))
+    best = sums.groupBy(F.col("_source").alias("_best")).agg(F.min(F.struct(F.abs(F.col("taken") - F.col("target")), "number"))["number"].alias("number"))
+    found = targets.join(best, F.col("_source").eqNullSafe(F.col("_best")), "left").drop("_best")
+    return materialize(found.withColumn("number", F.coalesce("number", F.lit(0))), "mix-rates")
 
 
 def mixing_plan(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    plan = with_copies(docs.select("doc_id", "text", "source"), settings)
-    return plan.select("row.doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    """One row per document: doc_id, source, size, source_size, target, copies, taken. Texts are read once."""
+    with discarding(docs.sparkSession) as keep:
+        sized = keep(materialize(docs.select("doc_id", "source", F.size(ascii_words(F.col("text"))).cast("long").alias("size")), "mix-sizes"))
+        rates = keep(source_rates(sized, settings))
+    plan = sized.join(_bounded(rates, settings), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("doc_id"), settings, "number"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """The mix itself: each document as often as the plan says, with the input's columns."""
-    plan = with_copies(docs, settings).where("copies > 0")
+    with discarding(docs.sparkSession) as keep:
+        sized = materialize(docs.select("doc_id", "source", F.size(ascii_words(F.col("text"))).cast("long").alias("size")), "mix-sizes")
+        rates = keep(source_rates(sized, settings))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    plan = rows.join(_bounded(rates, settings), F.col("row.source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("row.doc_id"), settings, "number"))
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")
-    return plan.select("row", times).select("row.*")
+    return plan.where("copies > 0").select("row", times).select("row.*")

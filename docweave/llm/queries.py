@@ -114,10 +114,12 @@ w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) %
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(top) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level FROM w
   WINDOW o AS (ORDER BY top::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, coalesce(least(top::DOUBLE, weight * (SELECT arg_min(level, top::DOUBLE / weight) FROM l WHERE top > weight * level)), top::DOUBLE) AS target FROM l),
-c AS (SELECT s.doc_id, s.source, s.size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, ('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS u
-  FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
-SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken FROM k""",
+c AS (SELECT s.doc_id, s.source, s.size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT *, ('0x' || substr(md5('mix-' || number || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS u FROM c, range(32) AS r(number)),
+k AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM n),
+t1 AS (SELECT source, number, target, sum(size * copies)::BIGINT AS taken FROM k WHERE size > 0 GROUP BY ALL),
+best AS (SELECT source, (list_sort(list({{'d': abs(taken - target), 'n': number}})))[1].n AS number FROM t1 GROUP BY source)
+SELECT doc_id, k.source, size, source_size, target, copies, size * copies AS taken FROM k LEFT JOIN best ON k.source IS NOT DISTINCT FROM best.source WHERE k.number = coalesce(best.number, 0)""",
     "op8_linededup": f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 u AS (SELECT doc_id, line_no, s, len(s) AS n FROM (SELECT doc_id, line_no, list_distinct(regexp_extract_all(line, '{_WORD}')) AS s FROM l) WHERE len(s) >= 1),
 x AS (SELECT doc_id, line_no, n, unnest(s) AS w FROM u), f AS (SELECT w, count(*) AS f FROM x GROUP BY w),

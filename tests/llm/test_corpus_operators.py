@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import op2_toxicity, op3_packing, op10_fingerprint
 from docweave.llm.components import connected_components
-from docweave.llm.gru import GruShape, Net, windows
+from docweave.llm.gru import GruShape, Net, around, pooled, segments
 from docweave.llm.op1_langid import code_matrix, identify
 from docweave.llm.op2_toxicity import toxicity
 from docweave.llm.op3_packing import PackSettings, cut, pack
@@ -63,13 +63,20 @@ def test_language_without_anything(empty, docs):
 # ------------------------------------------------------------------ 2 toxicity
 
 
-def test_windows_cover_the_text():
-    shape = GruShape()
-    for n in range(0, 80):
-        at = windows(n, shape)
-        seen = {i for s in at for i in range(s, min(s + shape.window, n))}
-        assert seen == set(range(n))
-        assert all(b - a == shape.stride for a, b in zip(at, at[1:]))
+def test_every_window_is_scored():
+    """Pooling gives each window of a text its own softmax mean, one word apart."""
+    shape, rng = GruShape(), np.random.default_rng(1)
+    for n in (1, 2, 15, 16, 17, 47, 48, 49, 130):
+        score, value = rng.normal(0, 3, n), rng.normal(size=n)
+        want = [np.average(value[i : i + shape.window], weights=np.exp(score[i : i + shape.window])) for i in range(max(n - shape.window + 1, 1))]
+        assert np.allclose(pooled(score, value, shape.window), want)
+        ids = np.arange(n)
+        rows = segments(ids, -1, shape)
+        assert rows[:, shape.warm : -shape.warm].ravel()[:n].tolist() == ids.tolist()
+        for row, start in zip(rows, range(0, n, shape.core)):
+            assert row.tolist() == [i if 0 <= i < n else -1 for i in range(start - shape.warm, start + shape.core + shape.warm)]
+        for start in (0, max(n - shape.window, 0)):
+            assert around(ids, start, -1, shape).tolist() == [i if 0 <= i < n else -1 for i in range(start - shape.warm, start + shape.window + shape.warm)]
 
 
 def test_gradients_match_differences():
@@ -79,16 +86,18 @@ def test_gradients_match_differences():
     x, y = rng.normal(size=(3, 5, 4)), np.array([1.0, 0.0, 1.0])
     mask = np.ones((3, 5))
     mask[1, 3:] = 0
+    inside = mask.copy()
+    inside[:, 0] = 0
     weight = np.array([1.0, 0.5, 2.0])
-    g, dx, _ = net.gradients(x, mask, y, weight)
+    g, dx, _ = net.gradients(x, mask, inside, y, weight)
     for name in ("Wx_f", "U_b", "U_f", "Wa", "v", "w", "bx_b", "b"):
         p = net.p[name]
         at = tuple(rng.integers(0, n) for n in p.shape)
         old = p[at]
         p[at] = old + 1e-4
-        up = net.gradients(x, mask, y, weight)[2]
+        up = net.gradients(x, mask, inside, y, weight)[2]
         p[at] = old - 1e-4
-        down = net.gradients(x, mask, y, weight)[2]
+        down = net.gradients(x, mask, inside, y, weight)[2]
         p[at] = old
         assert abs((up - down) / 2e-4 - g[name][at]) < 2e-3 + 0.02 * abs(g[name][at]), name
 
