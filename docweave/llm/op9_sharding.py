@@ -1,17 +1,23 @@
 """Hilbert-curve ordering: shards whose files hold narrow ranges of several metadata dimensions.
 
-Each dimension is quantised to 2**bits cells, a row's cells give its place on the Hilbert curve
-(the reversible transpose form: Gray decoding after undoing the rotations, as bit operations on
-columns), rows are ordered by that place, and equal runs of the order become shards. A reader that
-filters on any of the dimensions can skip most shards by their min and max.
-
-The order is a distributed sort: range partitioning on (place, tie-breakers), a sort inside each
-partition, and offsets from one count per partition; no window runs over the rows. Law `rows`: with
-n rows and k shards, shard = floor(rank * k / n), so counts differ by at most one.
-
-Defined results: null metadata sorts into cell 0; null text has size 16 and the crc32 of nothing, 0;
-a null doc_id sorts first among ties; repeated rows each take a slot; an empty table gives no rows.
-Other columns are ignored by `hilbert_shards`.
+Each dimension is quantised to 2**bits cells of equal shares of the rows: sizes by sixteenths of octaves in their order,
+labels in the order of their names. A row's cells give its place on the Hilbert curve (the reversible transpose form: Gray decoding after undoing the
+rotations, as bit operations on columns), rows are ordered by that place, and runs of the order become shards. A reader
+that filters on any of the dimensions can skip most shards by their min and max.
+
+Law `bytes`: the order is cut where its bytes reach k / shards of all, moved to the nearer end of the group of equal texts
+that lies there. So equal texts share a shard, and a shard's bytes differ from the mean by at most one such group. Equal texts lie
+together: where their metadata differ, their place is that of their least doc_id on a curve of its own, whose (negative) places
+come first, so that such groups widen the ranges of the first shards only.
+
+The order is a distributed sort: range partitioning on (place, text, doc_id), which splits a hot group, a sort inside each
+partition, and offsets from one count per partition. The cuts are found from those counts and from the rows of
+the partitions they fall into; a row's shard is how many cuts lie before its rank.
+
+Defined results: null and empty metadata have cells of their own place in the order of names, null first; null text has size 16 and the
+crc32 of nothing, 0; a null doc_id sorts first among ties; repeated rows each take a slot; an empty table gives no rows; a
+text of any length is hashed and never split. Other columns are ignored by `hilbert_shards` and written by `write_shards`, but for a
+column named like the shard folder.
 """
 
 from __future__ import annotations
@@ -22,7 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import materialize
+from docweave.llm.shared import discarding, fresh, materialize
+
+#: Most bytes of a table that is broadcast; its rows have a known width.
+BROADCAST_BYTES = 16 << 20
 
 
 def hilbert_index(df: DataFrame, cells: Sequence[str], bits: int, name: str) -> DataFrame:
@@ -55,56 +64,93 @@ def hilbert_index(df: DataFrame, cells: Sequence[str], bits: int, name: str) ->
     return df.withColumn(name, place).drop(*x, "_t")
 
 
-def log_cell(value: Column, bits: int) -> Column:
-    """Quantise a size: half-octaves, so a cell spans a factor of about 1.4."""
-    return F.least(F.floor(2 * F.log2(F.coalesce(value, F.lit(0)).cast("double") + 1)), F.lit((1 << bits) - 1)).cast("long")
-
-
-def hash_cell(value: Column, bits: int) -> Column:
-    """Quantise a label; null goes to cell 0."""
-    return F.coalesce(F.when(value.isNotNull(), F.pmod(F.xxhash64(value), F.lit(1 << bits))), F.lit(0)).cast("long")
-
-
-def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 5, rows_per_partition: int = 200_000) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve place of every document."""
+def _few(df: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def label_cells(rows: DataFrame, label: str, cell: str, bits: int) -> DataFrame:
+    """Quantise a label: values in the order of their names, each in the cell where the middle of its rows lies. The window runs over the table of values."""
+    values = rows.groupBy(F.col(label).alias("_v")).agg(F.count("*").alias("_n"))
+    order = W.orderBy(F.col("_v").asc_nulls_first())
+    middle = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n") / 2
+    total = F.sum("_n").over(W.partitionBy(F.lit(1)))
+    cells = materialize(values.withColumn(cell, F.floor(middle * (1 << bits) / total).cast("long")).select("_v", cell), "label-cells")
+    return rows.join(_few(cells, 64), F.col(label).eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def _cuts(ordered: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
+    """The rows with their `_rank`, and the ranks where shards begin, but for the first."""
+    part = F.shiftright("_id", 33)
+    parts = sorted(ordered.groupBy(part.alias("p")).agg(F.count("*"), F.sum("size")).collect())  # a row for each partition of the sort
+    at, rows, size = {}, 0, 0
+    for p, n, b in parts:
+        at[p] = (rows, size, b)
+        rows, size = rows + n, size + b
+    if not rows:
+        return ordered.withColumn("_rank", F.lit(0).cast("long")), []
+    spark = ordered.sparkSession
+    offsets = spark.createDataFrame([(p, r, b) for p, (r, b, _) in at.items()], "_part long, _before long, _bytes long")
+    ranked = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1))
+    goals = [size * k // shards for k in range(1, shards)]
+    hit = sorted({p for g in goals for p, (_, b, own) in at.items() if b <= g < b + own})
+    running = F.col("_bytes") + F.sum("size").over(W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, 0))
+    near = ranked.where(F.col("_part").isin(hit)).withColumn("end", running)
+    spans = F.array(*[F.lit(g).cast("long") for g in goals])
+    own = near.withColumn("goal", F.explode(F.filter(spans, lambda g: (g >= F.col("end") - F.col("size")) & (g < F.col("end")))))
+    found = own.select("goal", "_rank", "end", "size", "_th", "text_crc32").collect()  # one row a cut
+    keys = {(r["_th"], r["text_crc32"], r["size"]) for r in found}
+    same = ranked.where(F.col("_th").isin([k[0] for k in keys])).groupBy("_th", "text_crc32", "size").agg(F.min("_rank"), F.count("*"))
+    group = {tuple(r)[:3]: (r[3], r[4]) for r in same.collect()}  # a row for each group that a cut falls into
+    cuts = []
+    for r in found:
+        first, n = group[r["_th"], r["text_crc32"], r["size"]]
+        begin = r["end"] - r["size"] * (r["_rank"] - first + 1)
+        cuts.append(first if r["goal"] - begin <= begin + n * r["size"] - r["goal"] else first + n)
+    return ranked, sorted(cuts)
+
+
+def _placed(docs: DataFrame, shards: int, bits: int, rows_per_partition: int, payload: bool) -> DataFrame:
+    """Every row with its shard and slot; payload: the row itself goes along, as struct `row`."""
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sized = docs.select(
-        "doc_id",
-        (F.octet_length(binary) + 16).cast("long").alias("size"),
-        F.crc32(binary).alias("text_crc32"),
-        log_cell(F.octet_length(binary), bits).alias("_c0"),
-        hash_cell(F.col("source"), bits).alias("_c1"),
-        hash_cell(F.col("lang"), bits).alias("_c2"),
+    more = [F.struct(*docs.columns).alias("row")] if payload else []
+    rows = docs.select(
+        "doc_id", F.col("source").alias("_source"), F.col("lang").alias("_lang"), (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"), F.xxhash64(binary).alias("_th"), *more
     )
-    keyed = hilbert_index(sized, ["_c0", "_c1", "_c2"], bits, "place").drop("_c0", "_c1", "_c2")
-    keyed = materialize(keyed, "shard-keys")
-    n = keyed.count()
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_partition))
-    keys = ["place", "text_crc32", "doc_id", "size"]
+    sized = materialize(rows, "shard-rows")
+    celled = sized.withColumn("_size", F.floor(16 * F.log2("size")).cast("int"))  # sixteenths of octaves, at most 500 values
+    for i, label in enumerate(("_size", "_source", "_lang")):
+        celled = label_cells(celled, label, f"_c{i}", bits)
+    keyed = hilbert_index(celled, ["_c0", "_c1", "_c2"], bits, "place").drop("_c0", "_c1", "_c2", "_size", "_source", "_lang")
+    text = ["_th", "text_crc32", "size"]
+    groups = keyed.groupBy(*text).agg(F.min(F.struct("doc_id", "place"))["place"].alias("_first"), F.min("place").alias("_a"), F.max("place").alias("_b"))
+    moved = materialize(groups.where("_a <> _b").drop("_a", "_b"), "shard-moved")  # equal texts whose metadata differ
+    keyed = keyed.join(_few(moved, 64), text, "left").withColumn("place", F.coalesce(F.col("_first") - (1 << (3 * bits)), "place")).drop("_first")
+    n = sized.count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_partition))
+    keys = ["place", *text, "doc_id"]
     ordered = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
     ordered = materialize(ordered, "shard-order")  # fixes partition numbers and places inside them
-    part, local = F.shiftright(F.col("_id"), 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))  # a row for each partition of the sort
-    ranked = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + local)
-    shard = F.expr(f"(_rank * {shards}) div {max(n, 1)}")
-    first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard.cast("int")).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        (F.col("_rank") - first).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "place",
-    )
+    ranked, cuts = _cuts(ordered, shards)
+    begins = F.array(*[F.lit(c).cast("long") for c in [0, *cuts]])
+    shard = F.size(F.filter(begins, lambda c: c <= F.col("_rank"))) - 1
+    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - F.element_at(begins, F.col("shard") + 1))
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 6, rows_per_partition: int = 200_000) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve place of every document."""
+    with discarding(docs.sparkSession) as keep:
+        placed = _placed(docs, shards, bits, rows_per_partition, False).select(
+            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "place"
+        )
+        return keep(materialize(placed, "shards"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 40, bits: int = 6, rows_per_partition: int = 200_000, folder: str = "shard") -> None:
     """Write documents into shard folders, each sorted by the curve, so that readers prune by file statistics."""
-    placed = hilbert_shards(docs, shards).select(F.col("doc_id").alias("_doc"), "shard", "slot", "place")
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(F.col("_doc"))).drop("_doc")
-    joined.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rest = [c for c in docs.columns if c.lower() != folder.lower()]
+    with discarding(docs.sparkSession):
+        placed = _placed(docs, shards, bits, rows_per_partition, True)
+        flat = placed.select(*[F.col("row")[c].alias(c) for c in rest], F.col("shard").alias(folder), F.col("slot").alias(fresh(docs, "_slot")))
+        slot = flat.columns[-1]
+        # a shard's rows may lie in several tasks, as many files, so that no task holds a shard
+        flat.repartitionByRange(folder, slot).sortWithinPartitions(folder, slot).drop(slot).write.partitionBy(folder).parquet(path)
