@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet
 and reread as the next stage's docs. All stages but the last return the columns of documents.
+
+Every stage has its operator's results for nulls, empty and very long texts, ties, repeated rows and further columns: null and empty
+texts fail the quality rules, so later stages meet none of them unless they are run alone, where null text has no lines, no shingles, size
+0 and one separator token. Repeated rows: quality keeps or drops them alike, lines leaves the lines of one, near dedup keeps all
+rows of the kept id, mixing repeats them alike, packing cuts each. A tie between near copies goes to the least doc_id. Further columns
+pass through all stages but packing. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from docweave.llm.op4_quality import keep_good
 from docweave.llm.op6_minhash import MinMaxSettings, keep_one
 from docweave.llm.op7_mixing import mix_documents
 from docweave.llm.op8_linededup import deduplicate
-from docweave.llm.shared import shared_folder, table
+from docweave.llm.shared import delete_path, discarding, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +69,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/docweave/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with discarding(spark):  # what the stage wrote on its way goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before is not None:
+            delete_path(spark, before)
+        before = f"{base}/{name}"
     return docs

@@ -13,12 +13,14 @@ fingerprint is bounded and still covers the whole text.
 
 Defined results: null text counts as empty, whose fingerprint is `3::`; documents follow each other by
 descending doc_id, then text, null ids last; a table of one row is its own next document;
-repeated rows each give a row. Other columns are ignored.
+repeated rows each give a row; an empty table gives none. A very long text is hashed whole, in arrays of some ten times its bytes,
+and travels once, with its neighbour. Rows of one repeated id lie in one range, texts included. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -147,9 +149,12 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     bounds = sorted(set(bounds))  # at most `ranges` numbers
     where = F.lit(0)
     if bounds:
-        step = F.array(*[F.lit(b) for b in bounds])
-        where = F.size(F.filter(step, lambda b: b < F.col("_key")))
-    rows = rows.withColumn("_range", -where)  # the order is descending, so ranges count from the highest ids
+        # how many bounds lie below: whole runs of bounds by their last one, then those of the run that the key falls into
+        run = math.isqrt(len(bounds)) + 1
+        lasts, every = (F.filter(F.split(F.lit(",".join(map(str, x))), ","), lambda b: b != "").cast("array<bigint>") for x in (bounds[run - 1 :: run], bounds))
+        rows = rows.withColumn("_run", F.size(F.filter(lasts, lambda b: b < F.col("_key"))) * run)
+        where = F.col("_run") + F.size(F.filter(F.slice(every, F.col("_run") + 1, F.lit(run)), lambda b: b < F.col("_key")))
+    rows = rows.withColumn("_range", -where).drop("_run")  # the order is descending, so ranges count from the highest ids
     tops = {r[0]: r[1] for r in rows.groupBy("_range").agg(F.max("_key")).collect()}  # a row for each range
     if not tops:
         return spark.createDataFrame([], SCHEMA)

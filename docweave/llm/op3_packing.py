@@ -16,8 +16,9 @@ vocabulary, so texts are tokenised by their white-space-separated parts, each di
 per worker while a bounded cache holds it; ids equal those of the whole text.
 
 Defined results: null and empty text are one separator token; a null doc_id gives pieces with a
-null doc_id; repeated rows each give their own pieces; an empty table gives no rows. Other columns
-are ignored.
+null doc_id; repeated rows each give their own pieces; pieces of equal length and class keep the workers' order, which a written
+table fixes; an empty table gives no rows. A very long text is cut like any, its ids held at once (4 bytes a token). Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import in_slices, materialize, small_batches
+from docweave.llm.shared import discarding, in_slices, materialize, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long"
 
@@ -206,24 +207,25 @@ def first_fit(lengths: list[int], capacity: int) -> list[int]:
 def pack(docs: DataFrame, settings: PackSettings) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     c = settings.capacity
-    numbered = cut_documents(docs, settings).withColumn("_id", F.monotonically_increasing_id())
-    pieces = materialize(numbered, "pieces")  # fixes which worker numbered what
-    part = F.shiftright("_id", 33)
-    local = W.partitionBy("_part", "class").orderBy("_id")
-    pieces = pieces.withColumn("_part", part)
-    counts = pieces.groupBy("_part", "class").agg(F.count("*").alias("_n"))
-    totals = counts.groupBy("class").agg(F.sum("_n").alias("_all"))
-    in_front = F.coalesce(F.sum("_n").over(W.partitionBy("class").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", "class", in_front.alias("_before"))
-    placed = (
-        pieces.withColumn("_local", F.row_number().over(local) - 1)
-        .join(offsets, ["_part", "class"])
-        .join(F.broadcast(totals), "class")  # one row for each of at most `capacity` classes
-        .withColumn("_rank", F.col("_before") + F.col("_local"))
-        .withColumn("_bin", F.expr("_rank div class"))
-    )
-    full = F.col("_bin") < F.expr("_all div class")
-    placed = materialize(placed.select("_id", *[x.split()[0] for x in PIECES.split(", ")], "_bin", full.alias("_full")), "placed")
+    with discarding(docs.sparkSession) as keep:
+        numbered = cut_documents(docs, settings).withColumn("_id", F.monotonically_increasing_id())
+        pieces = materialize(numbered, "pieces")  # fixes which worker numbered what
+        part = F.shiftright("_id", 33)
+        local = W.partitionBy("_part", "class").orderBy("_id")
+        pieces = pieces.withColumn("_part", part)
+        counts = pieces.groupBy("_part", "class").agg(F.count("*").alias("_n"))
+        totals = counts.groupBy("class").agg(F.sum("_n").alias("_all"))
+        in_front = F.coalesce(F.sum("_n").over(W.partitionBy("class").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        offsets = counts.select("_part", "class", in_front.alias("_before"))
+        placed = (
+            pieces.withColumn("_local", F.row_number().over(local) - 1)
+            .join(offsets, ["_part", "class"])
+            .join(F.broadcast(totals), "class")  # one row for each of at most `capacity` classes
+            .withColumn("_rank", F.col("_before") + F.col("_local"))
+            .withColumn("_bin", F.expr("_rank div class"))
+        )
+        full = F.col("_bin") < F.expr("_all div class")
+        placed = keep(materialize(placed.select("_id", *[x.split()[0] for x in PIECES.split(", ")], "_bin", full.alias("_full")), "placed"))
 
     def again(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "_id"], ascending=[False, True])

@@ -7,9 +7,9 @@ calibrated (Platt) on rows held back from the fit; a row is kept if no base rule
 calibrated probability of good quality reaches `keep_at`.
 
 Defined results: null or empty text has no words, so it fails the base rules; a null doc_id gives a
-row with a null doc_id; repeated rows each give a row; with no labelled rows the model is constant
-and the base rules decide alone. Other columns of the input are
-ignored by `quality_rules` and kept by `keep_good`.
+row with a null doc_id; repeated rows each give a row; with no labelled rows (or one class of them only) the model is constant
+and the base rules decide alone; an empty table gives no rows. A probability equal to the threshold keeps. Texts are measured one at a
+time, in arrays of some forty bytes a byte of text. Other columns of the input are ignored by `quality_rules` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,8 +202,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: QualitySettings = Qu
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        return pd.Series([measure(t, model.value, settings)[-1] for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array([measure(t.as_py(), model.value, settings)[-1] for t in text], pa.bool_())
 
     return docs.where(good("text"))

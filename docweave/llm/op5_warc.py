@@ -7,22 +7,27 @@ block and payload digests of their own; record identifiers are name-based, so re
 Everything is a column expression, so a record is made where its page is read and nothing is shuffled.
 
 The text of a page is its body without scripts, styles, templates and comments; block elements end lines, other
-tags vanish, numeric entities and the seven common named ones are resolved (other names stay), runs of blanks shrink to one and blank lines go.
+tags vanish (a `<` that begins none stays), numeric entities and those that HTML names are resolved (unknown names stay), runs of blanks
+shrink to one and blank lines go.
 
 Defined results: a null url has an empty target, null html has an empty body (and an empty text,
-whose conversion record stays, so that links hold); a null page_id enters the identifiers as `null`;
-repeated rows give repeated records. Other columns are ignored.
+whose conversion record stays, so that links hold); a null page_id enters the identifiers as `null`; line ends in a url or
+link are percent-encoded, so they can't end a field; repeated rows give equal records of equal identifiers, as they are one record;
+an empty table gives none. A page goes through a fixed number of expressions, each linear in its length but for one replacement a distinct
+entity. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entities that are resolved by name; `&amp;` comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-#: Numeric entities but for the ampersand's.
-NUMERIC = r"&#(?!0*38;|[xX]0*26;)(?:0*[0-9]{1,7}|[xX]0*[0-9a-fA-F]{1,6});"
+#: Entities, numeric or named, but for the ampersand's.
+ENTITY = r"&(?!amp;|AMP;|#0*38;|#[xX]0*26;)(?:#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: The names of HTML and their characters, as Python's library lists them.
+NAMED = "\x02".join(f"&{name}\x01{value}" for name, value in sorted(html5.items()) if name.endswith(";"))
 #: What HTML reads the numbers 128 to 159 as.
 C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
@@ -30,12 +35,14 @@ EPOCH = "2024-01-01T00:00:00Z"
 
 
 def _character(entity: Column) -> Column:
-    """Of a numeric entity; no-break spaces are spaces as `&nbsp;` is, and what is no character is U+FFFD."""
+    """Of an entity; no-break spaces are spaces as `&nbsp;` is, and what is no character is U+FFFD."""
+    named = F.str_to_map(F.lit(NAMED), F.lit("\x02"), F.lit("\x01"))
+    word = F.when(entity == "&nbsp;", F.lit(" ")).otherwise(F.coalesce(F.try_element_at(named, entity), entity))
     digits = F.regexp_extract(entity, "([0-9a-fA-F]+);", 1)
     code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
     wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
     old = F.substring(F.lit(C1), (code - 127).cast("int"), F.lit(1))
-    return F.when(code == 160, F.lit(" ")).when(wrong, F.lit("\ufffd")).when(code.between(128, 159), old).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.when(~F.startswith(entity, F.lit("&#")), word).when(code == 160, F.lit(" ")).when(wrong, F.lit("\ufffd")).when(code.between(128, 159), old).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def plain_text(html: Column) -> Column:
@@ -44,21 +51,24 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>", "")
     t = F.regexp_replace(t, r"[\t\n\x0B\f\r ]+", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BLOCKS})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, value in ENTITIES[:-1]:
-        t = F.replace(t, F.lit(name), F.lit(value))
-    numeric = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(NUMERIC), 0))
-    t = F.aggregate(numeric, t, lambda done, entity: F.replace(done, entity, _character(entity)))
-    t = F.regexp_replace(t, "&(amp|#0*38|#[xX]0*26);", "&")  # last and at once, so that nothing is resolved twice
+    t = F.regexp_replace(t, r"</?[A-Za-z!?][^>]*>", "")
+    entities = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ENTITY), 0))
+    t = F.aggregate(entities, t, lambda done, entity: F.replace(done, entity, _character(entity)))
+    t = F.regexp_replace(t, "&(amp|AMP|#0*38|#[xX]0*26);", "&")  # last and at once, so that nothing is resolved twice
     t = F.regexp_replace(t, r" *\n[ \n]*", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"[ ]+", " "), r"^[ \n]+|[ \n]+$", "")
 
 
+def one_line(value: Column) -> Column:
+    """Line ends percent-encoded."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def outlinks(html: Column) -> Column:
     """Distinct values of href in links, in double quotes, single quotes or none."""
     value = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(value), 1)
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"""(?s)^(["'])(.*)\1$""", "$2")))
+    return F.array_distinct(F.transform(found, lambda x: one_line(F.regexp_replace(x, r"""(?s)^(["'])(.*)\1$""", "$2"))))
 
 
 def title(html: Column) -> Column:
@@ -83,7 +93,7 @@ def responses(pages: DataFrame, date: str = EPOCH) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return pages.select("page_id", record_id(F.lit("response"), name, url, digest(body)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("warc_date"), head.alias("http_head"), body.alias("body"))
+    return pages.select("page_id", record_id(F.lit("response"), name, url, digest(body)).alias("record_id"), one_line(url).alias("target_uri"), F.lit(date).alias("warc_date"), head.alias("http_head"), body.alias("body"))
 
 
 def derivatives(response: DataFrame) -> DataFrame:
@@ -129,7 +139,10 @@ def derivatives(response: DataFrame) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """The bytes of each record as a WARC file holds them; writing them with the text writer gives a valid file."""
+    """The bytes of each record as a WARC file holds them; writing them with the text writer gives a valid file.
+
+    The source's digests and (form-encoded) headers go along in fields of their own.
+    """
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
@@ -139,6 +152,10 @@ def serialized(records: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Target-URI: "), "target_uri"),
         F.concat(F.lit("WARC-Date: "), "warc_date"),
         F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
+        F.concat(F.lit("WARC-Payload-Digest: "), "block_digest"),
+        F.concat(F.lit("WARC-Source-Block-Digest: "), "source_block_digest"),
+        F.concat(F.lit("WARC-Source-Payload-Digest: "), "source_payload_digest"),
+        F.concat(F.lit("WARC-Source-Headers: "), F.url_encode("source_headers")),
         F.concat(F.lit("Content-Type: "), "content_type"),
         F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )

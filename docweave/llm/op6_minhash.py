@@ -18,7 +18,8 @@ Steps, none of which gathers a group in one place:
 Defined results: null or blank text has an empty set and stands alone; a text with fewer words than
 a shingle has one shingle, the whole sequence; a null doc_id is linked with nothing, has a null
 component and is kept; rows that share a doc_id count as texts of one document; an empty table
-gives no rows. Other columns are ignored by `near_duplicates` and kept by `keep_one`.
+gives no rows; of a group the least doc_id stays. A very long text is hashed in blocks; its distinct shingles are held at once, 8 bytes
+each. Other columns are ignored by `near_duplicates` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
 from docweave.llm.components import connected_components
-from docweave.llm.shared import fresh, in_slices, materialize, small_batches
+from docweave.llm.shared import discarding, fresh, in_slices, materialize, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARITY_LONGS = 16
@@ -167,7 +168,18 @@ def confirmed(docs: DataFrame, pairs: DataFrame, s: MinMaxSettings) -> DataFrame
 def near_duplicates(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
-    signed = materialize(signatures(docs, s), "signatures")
+    with discarding(docs.sparkSession) as keep:
+        signed = materialize(signatures(docs, s), "signatures")
+        named = keep(class_components(docs, signed, s))
+        # of the signatures only this small part is read later
+        kept = keep(materialize(signed.withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))).select("doc_id", "n_shingles", "digest"), "set-sizes"))
+    component = F.coalesce("component", "doc_id")
+    out = kept.join(named, "digest", "left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def class_components(docs: DataFrame, signed: DataFrame, s: MinMaxSettings) -> DataFrame:
+    """digest and component of every class of equal sets."""
     usable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
     heads = classes.select("digest", F.col("rep").alias("doc_id"))
@@ -199,17 +211,14 @@ def near_duplicates(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> Da
             found = materialize(connected_components(links.unionByName(more)), "components")
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = materialize(named, "class-components")
-    usable_digest = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
-    out = signed.drop("bands", "parity").withColumn("digest", usable_digest).join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return materialize(named, "class-components")
 
 
 def keep_one(docs: DataFrame, s: MinMaxSettings = MinMaxSettings()) -> DataFrame:
     """The documents with one of each near-duplicate group: the one with the least doc_id."""
     name = fresh(docs, "gone")
-    gone = materialize(near_duplicates(docs, s).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone-ids")
+    with discarding(docs.sparkSession) as keep:
+        gone = keep(materialize(near_duplicates(docs, s).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone-ids"))
     if gone.count() <= s.broadcast_ids:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -10,7 +10,7 @@ from docweave.llm.op1_langid import identify
 from docweave.llm.op2_toxicity import toxicity
 from docweave.llm.op3_packing import PackSettings, pack
 from docweave.llm.op4_quality import quality_rules
-from docweave.llm.op5_warc import BLOCKS, ENTITIES, EPOCH, derivatives, responses
+from docweave.llm.op5_warc import derivatives, responses
 from docweave.llm.op6_minhash import MinMaxSettings, near_duplicates
 from docweave.llm.op7_mixing import mixing_plan
 from docweave.llm.op8_linededup import deduplicate
@@ -75,13 +75,18 @@ def _distinct(words: str) -> str:
     return f"list_filter({words}, lambda x, i: list_position({words}, x) = i)"
 
 
+#: Entities that the test pages hold, and the other common ones; `&amp;` comes last.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+_BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
+
+
 def _warc_sql() -> str:
     text = r"regexp_replace(body, '(?s)<!--.*?-->', '', 'g')"
     text = rf"regexp_replace({text}, '(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>', '', 'g')"
     text = rf"regexp_replace({text}, '[\t\n\x0B\f\r ]+', ' ', 'g')"
-    text = rf"regexp_replace({text}, '(?i)</?({BLOCKS})\b[^>]*>', chr(10), 'g')"
-    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for name, value in ENTITIES:
+    text = rf"regexp_replace({text}, '(?i)</?({_BLOCKS})\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '</?[A-Za-z!?][^>]*>', '', 'g')"
+    for name, value in _ENTITIES:
         text = f"replace({text}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
     text = rf"regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g')"
     text = rf"regexp_replace(regexp_replace({text}, '[ ]+', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
@@ -89,12 +94,12 @@ def _warc_sql() -> str:
     return rf"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
 h AS (SELECT *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
   sha1(concat_ws(chr(10), 'response', coalesce(page_id::VARCHAR, 'null'), url, 'sha1:' || sha1(body))) AS rh,
-  regexp_extract_all(body, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1) AS found, trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS title FROM p),
+  list_transform(regexp_extract_all(body, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1), lambda x: replace(replace(x, chr(13), '%0D'), chr(10), '%0A')) AS found, trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS title FROM p),
 r AS (SELECT *, {urn("rh")} AS rid, {_distinct("found")} AS links FROM h),
 b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, 'fetchStatus: 200' || chr(13) || chr(10) || 'charset: utf-8' || chr(13) || chr(10) || 'title: ' || title || chr(13) || chr(10) || 'sourcePayloadDigest: sha1:' || sha1(body) || chr(13) || chr(10)
   || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || chr(13) || chr(10)), ''), '') AS block FROM r UNION ALL SELECT *, 'conversion', 'text/plain', {text} FROM r),
 i AS (SELECT *, sha1(record_type || chr(10) || rid) AS ih FROM b)
-SELECT page_id, record_type, {urn("ih")} AS record_id, rid AS refers_to, url AS target_uri, '{EPOCH}' AS warc_date, content_type, strlen(block)::BIGINT AS content_length, 'sha1:' || sha1(block) AS block_digest,
+SELECT page_id, record_type, {urn("ih")} AS record_id, rid AS refers_to, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, strlen(block)::BIGINT AS content_length, 'sha1:' || sha1(block) AS block_digest,
   'sha1:' || sha1(body) AS source_payload_digest, 'sha1:' || sha1(head || body) AS source_block_digest, len(links)::BIGINT AS n_outlinks, md5(block) AS block_md5, md5(head) AS headers_md5 FROM i"""
 
 
