@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docweave.llm import ngrams
 from docweave.llm.gru import Adam, GruShape, Net, Vocabulary, around, log_odds, pooled, segments, split_words
 from docweave.llm.op4_quality import calibrate
-from docweave.llm.shared import crc_mod, in_slices, labelled, labelled_sample, small_batches
+from docweave.llm.shared import crc_mod, in_slices, labelled_sample, small_batches
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, worst_start long, n_windows long"
 
@@ -156,7 +156,7 @@ def step_table(values: np.ndarray, g2: np.ndarray, slots: np.ndarray, grads: np.
 
 def fit(docs: DataFrame, labels: DataFrame, s: ToxicSettings) -> ToxicModel | None:
     seen = labels.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("toxic").isin(0, 1))
-    sample = labelled_sample(labelled(docs, seen, "toxic"), "toxic", s.sample_per_class, s.sample_rows, s.sample_chars)
+    sample = labelled_sample(docs, "toxic", s.sample_per_class, s.sample_rows, s.sample_chars, seen)
     share = seen.agg(F.avg("toxic")).first()[0]
     return train(sample, s, share) if len({k for _, k in sample}) == 2 else None
 

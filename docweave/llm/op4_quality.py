@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
-from docweave.llm.shared import in_slices, labelled, labelled_sample, small_batches
+from docweave.llm.shared import in_slices, labelled_sample, small_batches
 
 #: Characters that count as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -153,7 +153,7 @@ def calibrate(margins: np.ndarray, y: np.ndarray, weight_of_0: float = 1.0) -> t
 def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings) -> QualityModel:
     """Learn from labelled rows; every fifth is held back for the calibration."""
     s = settings
-    sample = labelled_sample(labelled(docs, labels, "quality"), "quality", s.sample_per_class, s.sample_rows, s.sample_chars)
+    sample = labelled_sample(docs, "quality", s.sample_per_class, s.sample_rows, s.sample_chars, labels)
     if len({y for _, y in sample}) < 2:
         return QualityModel(np.zeros((1 << s.bits) + 1, np.float32), 1.0, 20.0, s.bits)
     rows = []

@@ -22,6 +22,7 @@ column named like the shard folder.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -88,8 +89,8 @@ def _cuts(ordered: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
         rows, size = rows + n, size + b
     if not rows:
         return ordered.withColumn("_rank", F.lit(0).cast("long")), []
-    spark = ordered.sparkSession
-    offsets = spark.createDataFrame([(p, r, b) for p, (r, b, _) in at.items()], "_part long, _before long, _bytes long")
+    listed = json.dumps([{"_part": p, "_before": r, "_bytes": b} for p, (r, b, _) in at.items()])
+    offsets = ordered.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<_part:bigint,_before:bigint,_bytes:bigint>>")))
     ranked = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1))
     goals = [size * k // shards for k in range(1, shards)]
     hit = sorted({p for g in goals for p, (_, b, own) in at.items() if b <= g < b + own})

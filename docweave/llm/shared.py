@@ -133,18 +133,21 @@ def ascii_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), lambda w: w != "")
 
 
-def labelled_sample(rows: DataFrame, key: str, per_key: int, most_rows: int, most_chars: int) -> list[tuple[str, object]]:
+def labelled_sample(docs: DataFrame, key: str, per_key: int, most_rows: int, most_chars: int, labels: DataFrame | None = None) -> list[tuple[str, object]]:
     """(text, key) pairs on the driver: at most per_key a key value, and in all most_rows (or one a key value) and most_chars.
 
-    rows: doc_id, text and key. Ids hash into per_key slots for each key value and the smallest hash of a slot stays, so
-    choosing is one partial aggregation, a hot key or id costs no more than any other, and what reaches the driver is
-    per_key numbers a key value. Keys take turns, so that most_rows and most_chars cut all alike and no key value is lost to
-    most_rows. Of the rows that share an id and key the shortest text counts. Null ids, texts and keys aren't sampled.
+    docs: doc_id, text and, unless labels (doc_id and key) are given, key. Ids hash into per_key slots for each key value and
+    the smallest hash of a slot stays, so choosing is one partial aggregation, a hot key or id costs no more than any other,
+    and what reaches the driver is per_key numbers a key value. Only lengths are joined with labels, and repeated labels
+    count once. Keys take turns, so that most_rows and most_chars cut all alike and no key value is lost to most_rows. Of the rows that
+    share an id the shortest text counts. Null ids, texts and keys aren't sampled.
     """
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull()).select("doc_id", "text", F.col(key).alias("_key"))
+    own = [key] if labels is None else []
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", *own, "text", F.length("text").alias("_n"))
+    sized = rows.drop("text") if labels is None else rows.drop("text").join(labels.where(F.col("doc_id").isNotNull()).select("doc_id", key).distinct(), "doc_id")
     mixed = F.xxhash64(F.col("doc_id"), F.lit(17))
-    slots = rows.groupBy("_key", F.pmod(mixed, F.lit(per_key)).alias("_slot"))
-    picked = slots.agg(F.min(F.struct(mixed.alias("h"), "doc_id", F.length("text").alias("n"))).alias("m")).select("_key", "m.doc_id", "m.n").collect()
+    slots = sized.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), F.pmod(mixed, F.lit(per_key)).alias("_slot"))
+    picked = slots.agg(F.min(F.struct(mixed.alias("h"), "doc_id", "_n")).alias("m")).select("_key", "m.doc_id", "m._n").collect()
     by_key: dict[object, list[tuple[int, int]]] = {}
     for k, doc_id, n in sorted(picked, key=lambda r: (str(r[0]), r[1])):
         by_key.setdefault(k, []).append((doc_id, n))
@@ -158,11 +161,6 @@ def labelled_sample(rows: DataFrame, key: str, per_key: int, most_rows: int, mos
             total += n
     if not chosen:
         return []
-    wanted = rows.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id", "_key").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("m"))
-    texts = {(r[0], r[1]): r[2] for r in wanted.select("doc_id", "_key", "m.text").collect() if chosen[r[0]] == r[1]}
-    return [(texts[d, k], k) for d, k in chosen.items()]
-
-
-def labelled(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """doc_id, text and key of the labelled documents; repeated labels count once."""
-    return docs.select("doc_id", "text").join(labels.where(F.col("doc_id").isNotNull() & F.col(key).isNotNull()).select("doc_id", key).distinct(), "doc_id")
+    wanted = rows.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id", *own).agg(F.min(F.struct("_n", "text"))["text"].alias("text")).collect()
+    texts = {r["doc_id"]: r["text"] for r in wanted if not own or r[key] == chosen[r["doc_id"]]}
+    return [(texts[d], k) for d, k in chosen.items()]

@@ -568,3 +568,50 @@ def test_fingerprint_properties(empty, docs):
 def test_needed_overlap_is_what_jaccard_asks():
     for n in range(5, 200):
         assert n - (80 * n + 99) // 100 + 1 == n - ceil(0.8 * n - 1e-9) + 1
+
+
+# ------------------------------------------------------------------ samples
+
+
+def test_samples_keep_every_key(spark):
+    """Sixty languages, one of them with a document repeated 10,000 times and two texts under one id."""
+    from docweave.llm.shared import labelled_sample
+
+    rows = [(i, f"text {i}", f"l{i % 60}") for i in range(3000)] + [(7, "again and again", "l7")] * 10_000 + [(None, "x", "l1"), (9000, None, "l2"), (9001, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = labelled_sample(docs, "lang", 20, 300, 10**6)
+    assert Counter(k for _, k in got) == {f"l{i}": 5 for i in range(60)}
+    assert got == labelled_sample(docs.repartition(3), "lang", 20, 300, 10**6)
+    assert {k for _, k in labelled_sample(docs, "lang", 20, 10, 10**6)} == {f"l{i}" for i in range(60)}
+    marks = docs.select("doc_id", F.col("lang").alias("mark"))
+    by_label = labelled_sample(docs.drop("lang"), "mark", 20, 300, 10**6, marks)
+    assert sorted(by_label) == sorted(got) and "again and again" not in {t for t, _ in by_label}
+
+
+def test_shards_run_no_python(docs):
+    plan = hilbert_shards(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
+
+
+def test_tables_go(spark, docs, labels):
+    """Operators leave only what their lazy results read; a scope around them leaves nothing, on failure too."""
+    from docweave.llm.shared import discarding, materialize, shared_folder
+
+    def left():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/docweave")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return {str(f.getPath().getName()) for f in files.listStatus(path)} if files.exists(path) else set()
+
+    before = left()
+    with discarding(spark):
+        deduplicate(docs).count()
+        keep_one(docs).count()
+        mix_documents(docs).count()
+        hilbert_shards(docs, 5).count()
+    assert left() == before
+    with pytest.raises(ZeroDivisionError), discarding(spark) as keep:
+        keep(materialize(docs, "kept"))
+        raise ZeroDivisionError
+    assert left() == before
+    deduplicate(docs).count()
+    assert len(left() - before) <= 2
