@@ -13,11 +13,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark) -> None:
-    """Give the executors this package, once for each application, unless their Python path has it anyway."""
+    """Give the executors this package, once for each application. Only workers of a local master share the driver's paths."""
     home = Path(__file__).resolve().parent
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or any(p and Path(p).resolve() == home.parent for p in paths):
+    app, local = spark.sparkContext.applicationId, spark.sparkContext.master.split("[")[0] == "local"
+    if app in _shipped or (local and any(p and Path(p).resolve() == home.parent for p in paths)):
         return
     archive = Path(tempfile.mkdtemp(prefix="docweave-code-")) / "docweave.zip"
     with zipfile.ZipFile(archive, "w") as z:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ BLANK = r"[\s\x1c-\x1f]"
 CJK = "\\u4e00-\\u9fff"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often and in whatever inner lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
@@ -39,13 +46,21 @@ def n_windows(length: Column, size: int, step: int) -> Column:
 
 
 def windows(text: Column, size: int = 800, overlap: int = 120) -> Column:
-    """Array of the text's sliding character windows, trimmed, without empty ones."""
+    """Array of the text's sliding character windows, trimmed, without empty ones.
+
+    The text is cut into blocks of one step first, so a window costs its own length wherever it lies.
+    """
     size = max(1, size)
     step = size - max(0, min(overlap, size - 1))
-    t = strip(F.coalesce(text, F.lit("")))
-    n = n_windows(F.length(t), size, step)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: strip(F.substring(t, i * step + 1, F.lit(size)))), lambda w: w != "")
+    blocks = -(-size // step)
+
+    def cut(v: Column) -> Column:
+        n = n_windows(v["n"], size, step)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: strip(F.substring(F.array_join(F.slice(v["b"], i, F.lit(blocks)), ""), 1, size))), lambda w: w != "")
+
+    parts = lambda t: F.struct(F.length(t).alias("n"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("b"))
+    return bound(bound(strip(F.coalesce(text, F.lit(""))), parts), cut)
 
 
 def latin_or_cjk(text: Column) -> Column:
@@ -102,9 +117,8 @@ def keywords(text: Column, drop: tuple[str, ...] = KEYWORD_STOPWORDS) -> Column:
 
 def keyword_share(terms: Column, text: Column) -> Column:
     """Share of the terms found in the lower-cased text as substrings; 0 without terms or text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.size(F.filter(terms, lambda t: F.contains(low, t)))
-    return F.when((F.size(terms) == 0) | (low == ""), F.lit(0.0)).otherwise(hits.cast("double") / F.size(terms))
+    hits = bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
+    return F.when((F.size(terms) == 0) | (F.coalesce(text, F.lit("")) == ""), F.lit(0.0)).otherwise(hits.cast("double") / F.size(terms))
 
 
 def fold_width(text: Column) -> Column:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,21 @@ def embed(text: str, dim: int = 384) -> np.ndarray:
     return v / n if n > 1e-12 else v
 
 
+def embed_all(texts: list[str | None], dim: int = 384) -> np.ndarray:
+    """The unit vectors of several texts; each distinct token is hashed once."""
+    low = [(t or "").lower() for t in texts]
+    found = [WORDS.findall(x) or list(t or "") for x, t in zip(low, texts, strict=True)]
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    flat = np.fromiter((number[w] for words in found for w in words), np.int64)
+    grid = np.zeros((len(texts), dim))
+    if len(flat):
+        slot, sign = (np.array(x) for x in zip(*(_place(w, dim) for w in number), strict=True))
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in found])
+        grid = np.bincount(row * dim + slot[flat], sign[flat], len(texts) * dim).reshape(len(texts), dim)
+    length = np.sqrt((grid * grid).sum(1, keepdims=True))
+    return np.divide(grid, length, out=grid, where=length > 1e-12)
+
+
 def hash_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 384) -> DataFrame:
     """key, vector."""
 
@@ -52,7 +69,7 @@ def hash_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 384)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                grid = np.stack([embed(t or "", dim) for t in part.column(1).to_pylist()])
+                grid = embed_all(part.column(1).to_pylist(), dim)
                 offsets = pa.array(np.arange(0, (len(grid) + 1) * dim, dim, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(grid.ravel()))], [key, "vector"])
 

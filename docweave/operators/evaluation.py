@@ -41,8 +41,7 @@ def normalize_cases(rows: DataFrame, declared: tuple[str, ...] = (), seq: str =
 
 
 def matched_keywords(answer: Column, words: Column) -> Column:
-    flat = T.squeeze(answer)
-    return F.filter(words, lambda w: (T.squeeze(w) != "") & F.contains(flat, T.squeeze(w)))
+    return T.bound(T.squeeze(answer), lambda flat: F.filter(words, lambda w: T.bound(T.squeeze(w), lambda low: (low != "") & F.contains(flat, low))))
 
 
 def coverage(answer: Column, words: Column) -> Column:

@@ -58,11 +58,8 @@ def _peel(text: Column) -> Column:
 
 def rule_parts(question: Column) -> Column:
     """Parts of a question by marks and joiners, with its context or topic put before the parts that lack it."""
-    context = F.regexp_extract(T.strip(question), CONTEXT, 1)
-    body = F.when(context != "", F.regexp_extract(T.strip(question), CONTEXT, 2)).otherwise(question)
-    pieces = F.filter(F.transform(F.split(body, rf"(?U){PART_MARKS}\s*"), _peel), lambda p: p != "")
 
-    def parts(piece: Column) -> Column:
+    def parts(piece: Column, context: Column) -> Column:
         subs = F.split(piece, JOINERS)
         named = F.regexp_extract(piece, TOPIC, 1)
         topic = F.when(named != "", named).when(F.contains(piece, F.lit("，")), F.get(F.split(piece, "，"), 0)).otherwise(F.lit(""))
@@ -71,7 +68,13 @@ def rule_parts(question: Column) -> Column:
         whole = F.transform(kept, lambda s: F.when(context != "", F.concat(context, s)).when(lacks(s), F.concat(topic, s)).otherwise(s))
         return F.when(F.size(subs) == 1, F.array(piece)).otherwise(whole)
 
-    return F.flatten(F.transform(pieces, parts))
+    def split(q: Column) -> Column:
+        context = F.regexp_extract(q["stripped"], CONTEXT, 1)
+        body = F.when(context != "", F.regexp_extract(q["stripped"], CONTEXT, 2)).otherwise(q["asked"])
+        pieces = F.filter(F.transform(F.split(body, rf"(?U){PART_MARKS}\s*"), _peel), lambda p: p != "")
+        return T.bound(context, lambda c: F.flatten(F.transform(pieces, lambda piece: parts(piece, c))))
+
+    return T.bound(F.struct(T.strip(question).alias("stripped"), question.alias("asked")), split)
 
 
 def clean_parts(parts: Column, question: Column, most: int = 4) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docweave.sources.workspace import written
+
 #: Most bytes of query vectors that one broadcast holds.
 QUERY_BLOCK_BYTES = 64 << 20
 
@@ -74,7 +77,12 @@ def top_k(base: DataFrame, key: str, queries: DataFrame, query_key: str, k: int,
 
         return base.select(key, vector).mapInArrow(work, schema)
 
-    parts = [search(*b) for b in _blocks(queries, query_key, vector)]
+    blocks = _blocks(queries, query_key, vector)
+    parts = [search(*b) for b in islice(blocks, 1)]
+    more = next(blocks, None)
+    if more is not None:  # several blocks read the base again and again, so its vectors are made once
+        base = written(base.select(key, vector), "base-vectors")
+        parts = [search(ids, grid) for ids, grid in _blocks(queries, query_key, vector)]
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")
     rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key)))

@@ -9,6 +9,7 @@ from docweave.functions import scores as S
 from docweave.functions import text as T
 from docweave.operators import embedding, fusion, lexical, questions, vector
 from docweave.operators.chunking import chunk_documents
+from docweave.sources.workspace import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -165,8 +166,8 @@ f AS (SELECT *, round(CASE WHEN len(terms) > 0 THEN 0.7 * scaled + (1.0 - 0.7) *
 o AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, rank))::INT AS final_rank FROM f)
 SELECT item_id, chunk_id, score AS vector_score, round(term_score, 6) AS term_score, final_score, final_rank FROM o WHERE final_rank <= 5""")
 def keyword_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = hash_hits(spark, sf_dir, 30)
-    texts = records(spark, sf_dir).select("chunk_id", "text").join(F.broadcast(hits.select("chunk_id").distinct()), "chunk_id", "left_semi").distinct()  # 30 ids a query
+    hits = written(hash_hits(spark, sf_dir, 30).select("item_id", "chunk_id", "score", "rank"), "hits")  # read twice below
+    texts = records(spark, sf_dir).select("chunk_id", "text").join(F.broadcast(hits.select("chunk_id").distinct()), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])  # 30 ids a query
     asked = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query_text"))
     rows = hits.join(texts, "chunk_id").join(asked, "item_id")
     return fusion.keyword_rerank(rows, "item_id", "chunk_id", 5).withColumn("term_score", F.round("term_score", 6))

@@ -173,3 +173,36 @@ def test_seams(spark):
         return "ok"
 
     assert seams.Retrying(flaky)() == "ok" and len(calls) == 3
+
+
+def test_search_by_batches_equals_joins(spark):
+    """Both plans of the lexical search give the same ranks, and a segmenter's words count in both."""
+    import random
+
+    from docweave.operators import lexical
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["水", "电网", "检查"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30))), [rng.choice(["seg1", "seg2"])]) for i in range(200)] + [(500, None, [])]
+    docs = spark.createDataFrame(rows, "id int, text string, seg array<string>").repartition(3)
+    asked = spark.createDataFrame([("a", "w1 w2 w2 电网检查", ["seg1"]), ("b", "none of these", []), ("c", "w3", ["seg2"])], "q string, text string, seg array<string>")
+    fast = lexical.search(docs, "id", asked, "q", 7, segments="seg", query_segments="seg").collect()
+    old, lexical.BROADCAST_TERMS = lexical.BROADCAST_TERMS, 1
+    try:
+        slow = lexical.search(docs, "id", asked, "q", 7, segments="seg", query_segments="seg").collect()
+    finally:
+        lexical.BROADCAST_TERMS = old
+    key = lambda r: (r["q"], r["rank"], r["id"], round(r["score"], 6))
+    assert sorted(map(key, fast)) == sorted(map(key, slow)) and len(fast) == 14
+
+
+def test_windows_of_long_texts(spark):
+    """Windows equal plain slices, whatever the overlap."""
+    from docweave.functions import text as T
+
+    text = "".join(chr(97 + i % 26) if i % 7 else " é中\U0001f600"[i % 5 % 4] for i in range(5000)).strip()
+    for size, overlap in ((800, 120), (100, 90), (10, 0), (7, 3)):
+        got = spark.createDataFrame([(text,)], "t string").select(T.windows(F.col("t"), size, overlap)).first()[0]
+        step = size - overlap
+        n = 1 if len(text) <= size else -(-(len(text) - size) // step) + 1
+        assert got == [w for w in (text[i * step : i * step + size].strip() for i in range(n)) if w]
