@@ -121,7 +121,7 @@ def search(
                 doc, term, value = doc[order], term[order], value[order]
                 score = np.zeros((len(names), part.num_rows))
                 own, begin = np.unique(term, return_index=True)
-                for t, low, high in zip(own, begin, [*begin[1:], len(term)], strict=True):
+                for t, low, high in zip(own, begin, np.append(begin, len(term))[1:], strict=True):
                     of = slice(ends[t], ends[t + 1])
                     score[queries_of[of, None], doc[None, low:high]] += times[of, None] * value[None, low:high]
                 score = np.round(score, digits)

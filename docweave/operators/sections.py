@@ -6,17 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_CN = "零一二三四五六七八九十百"
-_TWO = "[0-9]{0,2}"
 #: Families of numbering, each from the highest level to the lowest.
 FAMILIES = (
-    (f"第[{_CN}0-9]+(分?编|部分)", f"第[{_CN}0-9]+章", f"第[{_CN}0-9]+节", f"第[{_CN}0-9]+条", f"[\\(（][{_CN}]+[\\)）]"),
-    ("第[0-9]+章", "第[0-9]+节", rf"{_TWO}[\. 、]", rf"{_TWO}\.{_TWO}[^a-zA-Z/%~-]", rf"{_TWO}\.{_TWO}\.{_TWO}", rf"{_TWO}\.{_TWO}\.{_TWO}\.{_TWO}"),
-    (f"第[{_CN}0-9]+章", f"第[{_CN}0-9]+节", f"[{_CN}]+[ 、]", f"[\\(（][{_CN}]+[\\)）]", rf"[\(（]{_TWO}[\)）]"),
-    ("PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", "Chapter (I+V?|VI*|XI|IX|X)", "Section [0-9]+", "Article [0-9]+"),
+    (
+        r"第[零一二三四五六七八九十百0-9]+(分?编|部分)",
+        r"第[零一二三四五六七八九十百0-9]+章",
+        r"第[零一二三四五六七八九十百0-9]+节",
+        r"第[零一二三四五六七八九十百0-9]+条",
+        r"[\(（][零一二三四五六七八九十百]+[\)）]",
+    ),
+    (
+        r"第[0-9]+章",
+        r"第[0-9]+节",
+        r"[0-9]{0,2}[\. 、]",
+        r"[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-]",
+        r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}",
+        r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}",
+    ),
+    (
+        r"第[零一二三四五六七八九十百0-9]+章",
+        r"第[零一二三四五六七八九十百0-9]+节",
+        r"[零一二三四五六七八九十百]+[ 、]",
+        r"[\(（][零一二三四五六七八九十百]+[\)）]",
+        r"[\(（][0-9]{0,2}[\)）]",
+    ),
+    (
+        r"PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)",
+        r"Chapter (I+V?|VI*|XI|IX|X)",
+        r"Section [0-9]+",
+        r"Article [0-9]+",
+    ),
 )
-#: Lines that look numbered but aren't.
-NOT_BULLET = r"^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})"
+#: Beginnings of lines that look numbered but aren't.
+NOT_BULLETS = (r"0", r"[0-9]+ +[0-9~个只-]", r"[0-9]+\.{2,}")
+NOT_BULLET = "^(?:" + "|".join(NOT_BULLETS) + ")"
+#: Fixed value: an article is a title whatever its length.
+ARTICLE = r"第[零一二三四五六七八九十百0-9]+条"
 
 
 def _starts(line: Column, pattern: str) -> Column:
@@ -38,7 +63,7 @@ def family_votes(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
 
 def not_title(text: Column) -> Column:
     long = (F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) > 12) | (~F.contains(text, F.lit(" ")) & (F.length(text) >= 32))
-    return ~_starts(text, f"第[{_CN}0-9]+条") & (long | text.rlike("[,;，。；！!]"))
+    return ~_starts(text, ARTICLE) & (long | text.rlike("[,;，。；！!]"))
 
 
 def title_level(line: Column, layout: Column, family: int) -> Column:
@@ -96,10 +121,15 @@ BLOCK_KINDS = (
 )
 
 
-def block_kind(text: Column) -> Column:
-    """Kind of a cell: a matched class, else by its number of words: short or long text."""
+def block_kind(text: Column, tokens: Column | None = None, tag: Column | None = None) -> Column:
+    """Kind of a cell: a matched class of its trimmed text, else by its number of words: short or long text, or a lone person's name.
+
+    tokens: a segmenter's words, if there are any; tag: the word class of the cell's only word of more than one character.
+    """
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     kind = F.when(F.lit(False), F.lit(""))
     for pattern, name in BLOCK_KINDS:
-        kind = kind.when(text.rlike(pattern), F.lit(name))
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 1))
-    return kind.when((words > 3) & (words < 12), F.lit("Tx")).when(words > 3, F.lit("Lx")).otherwise(F.lit("Ot"))
+        kind = kind.when(trimmed.rlike(pattern), F.lit(name))
+    words = F.size(F.filter(F.split(text, r"\s+") if tokens is None else tokens, lambda w: F.length(w) > 1))
+    kind = kind.when((words > 3) & (words < 12), F.lit("Tx")).when(words > 3, F.lit("Lx"))
+    return (kind if tag is None else kind.when((words == 1) & (tag == "nr"), F.lit("Nr"))).otherwise(F.lit("Ot"))

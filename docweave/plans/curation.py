@@ -375,14 +375,17 @@ def is_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", sections.is_english(F.split("text", "\n")).alias("english"))
 
 
-CELLS = "cells AS (SELECT p_partkey, unnest([p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR, '1998-0' || (p_size % 9 + 1) || '-12', 'x', p_name || ' ' || p_type || ' of ' || p_brand || ' und mehr']) AS cell, unnest(range(8)) AS i FROM part)"
+CELLS = "cells AS (SELECT p_partkey, unnest([p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR, '1998-0' || (p_size % 9 + 1) || '-12 ', 'x', p_name || ' ' || p_type || ' of ' || p_brand || ' und mehr']) AS cell, unnest(range(8)) AS i FROM part)"
 
 
-@query(f"""WITH {CELLS} SELECT p_partkey, i::INT AS i, CASE {" ".join(f"WHEN regexp_matches(cell, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for p, k in sections.BLOCK_KINDS)}
- WHEN len(list_filter(string_split_regex(cell, '\\s+'), lambda w: length(w) > 1)) BETWEEN 4 AND 11 THEN 'Tx' WHEN len(list_filter(string_split_regex(cell, '\\s+'), lambda w: length(w) > 1)) > 3 THEN 'Lx' ELSE 'Ot' END AS kind FROM cells""")
+@query(f"""WITH {CELLS}, t AS (SELECT *, {sql_strip("cell")} AS c FROM cells), w AS (SELECT *, len(list_filter(string_split_regex(cell, '\\s+'), lambda x: length(x) > 1)) AS n FROM t)
+SELECT p_partkey, i::INT AS i, CASE WHEN regexp_matches(c, '^(20|19)[0-9]{{2}}[年/-][0-9]{{1,2}}[月/-][0-9]{{1,2}}日*$') OR regexp_matches(c, '^(20|19)[0-9]{{2}}年$') OR regexp_matches(c, '^(20|19)[0-9]{{2}}[年-][0-9]{{1,2}}月*$')
+  OR regexp_matches(c, '^[0-9]{{1,2}}[月-][0-9]{{1,2}}日*$') OR regexp_matches(c, '^第*[一二三四1-4]季度$') OR regexp_matches(c, '^(20|19)[0-9]{{2}}年*[一二三四1-4]季度$') OR regexp_matches(c, '^(20|19)[0-9]{{2}}[ABCDE]$') THEN 'Dt'
+  WHEN regexp_matches(c, '^[0-9.,+%/ -]+$') THEN 'Nu' WHEN regexp_matches(c, '^[0-9A-Z/\\._~-]+$') THEN 'Ca' WHEN regexp_matches(c, '^[A-Z]*[a-z'' -]+$') THEN 'En'
+  WHEN regexp_matches(c, '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') THEN 'NE' WHEN length(c) = 1 THEN 'Sg' WHEN n BETWEEN 4 AND 11 THEN 'Tx' WHEN n > 3 THEN 'Lx' ELSE 'Ot' END AS kind FROM w""")
 def block_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
-    cells = F.array(s("p_name"), s("p_brand"), s("p_type"), s("p_size"), s("p_retailprice"), F.concat(F.lit("1998-0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit("-12")), F.lit("x"), F.concat_ws(" ", "p_name", "p_type", F.lit("of"), "p_brand", F.lit("und mehr")))
+    cells = F.array(s("p_name"), s("p_brand"), s("p_type"), s("p_size"), s("p_retailprice"), F.concat(F.lit("1998-0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit("-12 ")), F.lit("x"), F.concat_ws(" ", "p_name", "p_type", F.lit("of"), "p_brand", F.lit("und mehr")))
     return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(cells).alias("i", "cell")).select("p_partkey", "i", sections.block_kind(F.col("cell")).alias("kind"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docweave.plans import curation, retrieval
+from docweave.plans import curation, records, retrieval
 
-MODULES = (retrieval, curation)
+MODULES = (retrieval, curation, records)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()} | records.MORE_SQL

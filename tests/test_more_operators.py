@@ -1,6 +1,7 @@
 """Segmentation, full text, citations, office files, grids and resumes on hand-made inputs."""
 
 import io
+import json
 import zipfile
 from itertools import combinations
 
@@ -154,10 +155,13 @@ def test_grids(spark):
 
 def test_resume_records(spark):
     cv = {"raw_txt": "x", "basic": {"photo2": 1, "name": "n", "basic_salary_month": 5}, "work": [{"start_time": "2", "corporation_name": "B", "external": 1}, {"start_time": "1", "management_experience": "Y"}], "education": {"a": {"start_time": "1", "school_name": "S"}}, "skill": "bad"}
-    got = resume.cleaned_record(cv, "now")
+    got = resume.clean_records(spark.createDataFrame([(1, json.dumps(cv, ensure_ascii=False)), (2, "{}")], "id int, cv string"), "cv", "now").orderBy("id").collect()
+    assert got[1].basic == {"updated_at": "now"} and got[1].work is None and got[1].contact == {"name": ""}
+    got = got[0]
     assert got["basic"]["corporation_name"] == "B" and got["basic"]["work_start_time"] == "1" and got["basic"]["management_experience"] == "Y"
-    assert got["basic"]["school_name"] == "S" and got["basic"]["salary_month"] == 5 and got["contact"]["name"] == "n"
-    assert "skill" not in got and "raw_txt" not in got and got["work"]["0"] == {"start_time": "2", "corporation_name": "B"}
+    assert got["basic"]["school_name"] == "S" and got["basic"]["salary_month"] == "5" and got["contact"]["name"] == "n"
+    assert got["basic"]["updated_at"] == "now" and not {"photo2", "basic_salary_month"} & set(got["basic"]) and got["is_deleted"] == 0
+    assert got["skill"] is None and "raw_txt" not in got["rest"] and got["work"]["0"] == {"start_time": "2", "corporation_name": "B"}
     schools = spark.createDataFrame([(1, "北京大学", "Peking University", ["北大"])], "school_id int, name_cn string, name_en string, aliases array<string>")
     studies = spark.createDataFrame([("北大",), ("peking  university",), ("北京大学(医学部)",), ("other",)], "s string")
     assert [r.school_id for r in resume.matched_schools(studies, schools, "s").orderBy("s").collect()].count(1) == 3
