@@ -68,7 +68,7 @@ def idempotent_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERED = """turns AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
 words AS (SELECT *, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM turns WHERE role = 'user'),
 cases AS (SELECT conv_id || '/' || turn AS case_id, ['qa', 'extract', 'compare'][conv_id % 3 + 1] AS intent, CASE WHEN turn % 4 = 0 THEN '' ELSE 'turn' END AS sub_intent, coalesce(answer, '') AS rag_answer,
-  CASE WHEN conv_id % 7 = 0 THEN [] ELSE list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:6] END AS answer_keywords, (conv_id % 11)::DOUBLE / 10 AS llm_accuracy FROM words)"""
+  CASE WHEN conv_id % 7 = 0 THEN [] ELSE list_filter(ws, lambda x, i: list_position(ws, x) = i) END AS answer_keywords, (conv_id % 11)::DOUBLE / 10 AS llm_accuracy FROM words)"""
 GRADED = f"""{ANSWERED},
 m AS (SELECT *, regexp_replace(lower(rag_answer), '{WS}+', '', 'g') AS flat FROM cases),
 k AS (SELECT *, CASE WHEN len(answer_keywords) = 0 THEN NULL ELSE len(list_filter(answer_keywords, lambda w: regexp_replace(lower(w), '{WS}+', '', 'g') <> '' AND contains(flat, regexp_replace(lower(w), '{WS}+', '', 'g'))))::DOUBLE / len(answer_keywords) END AS keyword_coverage FROM m),
@@ -78,7 +78,7 @@ graded AS (SELECT *, CASE WHEN keyword_coverage IS NULL THEN llm_accuracy ELSE 0
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases made of user turns and the turns that follow them."""
     turns = read(spark, sf_dir, "conversations").withColumn("answer", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
-    words = F.slice(F.array_distinct(F.filter(F.split("text", " "), lambda w: w != "")), 1, 6)
+    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
     return turns.select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"),
         F.element_at(F.array(F.lit("qa"), F.lit("extract"), F.lit("compare")), (F.col("conv_id") % 3 + 1).cast("int")).alias("intent"),
@@ -272,10 +272,11 @@ HIT = r"""(^|[ .?/''"\(\)!,:;-])(the|of|der|les)([ .?/''"\(\)!,:;-]|$)"""
 
 
 @query(f"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(text, '[.?!;\\n]'), lambda x: regexp_matches(x, '(?i){HIT}')) AS hits FROM documents)
-SELECT doc_id, len(hits)::BIGINT AS sentences FROM s WHERE len(hits) > 0""")
+SELECT doc_id, len(hits)::BIGINT AS sentences, md5(array_to_string(hits, '...')) AS text_md5 FROM s WHERE len(hits) > 0""")
 def store_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = read(spark, sf_dir, "documents").select("doc_id", docstore.highlight(F.col("text"), ["the", "of", "der", "les"]).alias("h")).where("h IS NOT NULL")
-    return marked.select("doc_id", F.size(F.split("h", r"\.\.\.")).cast("long").alias("sentences"))
+    plain = F.regexp_replace("h", "</?em>", "")
+    return marked.select("doc_id", F.size(F.split("h", r"\.\.\.")).cast("long").alias("sentences"), F.md5(plain.cast("binary")).alias("text_md5"))
 
 
 PARTS_TAGS = "uses AS (SELECT p_brand AS grp, unnest(string_split(p_name, ' ')) AS tag FROM part)"
@@ -311,11 +312,11 @@ def doc_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docstore.document_counts(F.broadcast(hits).join(docs.select("doc_id", F.col("source").alias("document")), "doc_id"), "item_id", "document")
 
 
-@query("""SELECT doc_id, (len(c) + 2 * len(t) + 5 + 6 * len(q))::BIGINT AS bag_size FROM (SELECT doc_id, string_split(text, ' ') AS c, string_split(substr(text, 1, 40), ' ') AS t, string_split(substr(text, 1, 20), ' ') AS q FROM documents)""")
+@query("""SELECT doc_id, (len(c) + 2 * len(t) + 5 + 6 * len(q))::BIGINT AS bag_size, md5(array_to_string(c, '|') || '|' || array_to_string(list_concat(t, t), '|') || '|' || array_to_string([lang, lang, lang, lang, lang], '|') || '|' || array_to_string(flatten([q, q, q, q, q, q]), '|')) AS bag_md5
+FROM (SELECT doc_id, lang, string_split(text, ' ') AS c, string_split(text, chr(10)) AS t, [source, lang] AS q FROM documents)""")
 def rerank_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda n: F.split(F.substring("text", 1, n), " ")
-    bag = docstore.token_bag(F.split("text", " "), cut(40), F.array("lang"), cut(20))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(bag).cast("long").alias("bag_size"))
+    bag = docstore.token_bag(F.split("text", " "), F.split("text", "\n"), F.array("lang"), F.array("source", "lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", bag.alias("b")).select("doc_id", F.size("b").cast("long").alias("bag_size"), F.md5(F.array_join("b", "|").cast("binary")).alias("bag_md5"))
 
 
 # ---------------------------------------------------------------- sections, weights

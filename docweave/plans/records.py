@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
-from docweave.operators import evaluation, fields, fulltext, fusion, geometry, layout, lexical, resume, sections
+from docweave.operators import docstore, evaluation, fields, fulltext, fusion, geometry, layout, lexical, resume, sections
 from docweave.plans import curation, retrieval
 from docweave.plans.curation import BOXES, boxes
 from docweave.plans.retrieval import FRAMED, WS, framed, read, sql_strip
@@ -355,6 +355,53 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", layout.heading_level(text).alias("level"))
 
 
+@query(f"""WITH RECURSIVE {BOXES}, s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top, x0, id) AS n FROM boxes),
+w(page, n, line, start) AS (SELECT page, 1::BIGINT, 0, top FROM s WHERE n = 1 UNION ALL SELECT s.page, s.n, CASE WHEN s.top - w.start > 25 THEN w.line + 1 ELSE w.line END, CASE WHEN s.top - w.start > 25 THEN s.top ELSE w.start END FROM w JOIN s ON s.page = w.page AND s.n = w.n + 1)
+SELECT id, (row_number() OVER (PARTITION BY page ORDER BY line, x0, n) - 1)::INT AS place FROM w JOIN s USING (page, n)""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from top to bottom, those of one row from left to right."""
+    return geometry.reading_order(boxes(spark, sf_dir).orderBy("id"), ["page"], 25.0).select("id", "place")
+
+
+@query("""SELECT doc_id, md5(text) AS content_md5, md5(array_to_string(string_split(lower(text), ' '), ' ')) AS tokens_md5, md5(array_to_string(string_split(text, chr(10)), ' ')) AS fine_md5, (doc_id % 7 + 1)::INT AS page_num, (doc_id % 90)::INT AS top,
+  (doc_id % 7 + 1) || ',' || (doc_id % 5) || ',9,' || (doc_id % 90) || ',99' AS position FROM documents""")
+def store_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of a search store."""
+    k = F.col("doc_id")
+    place = F.array(F.struct((k % 7).alias("page"), (k % 5 + 0.4).alias("left"), F.lit(9.9).alias("right"), (k % 90 + 0.7).alias("top"), F.lit(99.5).alias("bottom")))
+    chunks = read(spark, sf_dir, "documents").select("doc_id", "text", F.split(F.lower("text"), " ").alias("tokens"), F.split("text", "\n").alias("fine_tokens"), place.alias("boxes"))
+    made = fields.store_fields(chunks, positions="boxes")
+    return made.select(
+        "doc_id", md5("content_with_weight").alias("content_md5"), md5("content_ltks").alias("tokens_md5"), md5("content_sm_ltks").alias("fine_md5"), F.get("page_num_int", F.lit(0)).alias("page_num"),
+        F.get("top_int", F.lit(0)).alias("top"), F.array_join(F.get("position_int", F.lit(0)).cast("array<string>"), ",").alias("position"),
+    )
+
+
+@query("""WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, n_nationkey FROM nation) SELECT n_regionkey, (i // 2)::INT AS batch, string_agg(n_name, '；' ORDER BY n_nationkey) AS n_name FROM n GROUP BY ALL""".replace("'；'", "'； '"))
+def row_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.row_batches(read(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", "n_name", False, 2)
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) // 2 AS h FROM embeddings), p AS (SELECT vec_id, e[1:h] AS a, e[h + 1:2 * h] AS b FROM v), q AS (SELECT vec_id, a, b, lead(a) OVER (ORDER BY vec_id) AS c, lead(b) OVER (ORDER BY vec_id) AS d FROM p)
+SELECT vec_id, round(greatest(list_inner_product(a, c), list_inner_product(a, d)) + greatest(list_inner_product(b, c), list_inner_product(b, d)), 6) AS score FROM q WHERE c IS NOT NULL""")
+def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of each vector against those of the next, by id."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    half = F.expr("size(embedding) div 2")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice(e, F.lit(1), half), F.slice(e, half + 1, half)).alias("vs"))
+    # ids are whole numbers in a row, so the next one is found by equality, not in one sorted partition
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vs").alias("ws"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(docstore.late_interaction(F.col("vs"), F.col("ws")), 6).alias("score"))
+
+
+@query(f"""WITH {retrieval.lex_sql("documents", "doc_id", "benchmark", "item_id")}, f AS (SELECT * FROM lex_ranked WHERE rank <= 5 AND score > 60) SELECT item_id, doc_id, score, rank FROM f
+UNION ALL SELECT item_id, doc_id, score, rank FROM lex_ranked WHERE rank <= 3 AND item_id NOT IN (SELECT item_id FROM f)""")
+def relaxed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict search, and a looser one for questions that it leaves without a hit."""
+    hits = written(lexical.search(read(spark, sf_dir, "documents"), "doc_id", read(spark, sf_dir, "benchmark"), "item_id", 5), "relaxed-hits")
+    return docstore.relaxed(hits.where("score > 60"), hits.where("rank <= 3"), "item_id").select("item_id", "doc_id", "score", "rank")
+
+
 # ---------------------------------------------------------------- splitters and streams that had no SQL
 
 SPLIT = r"""WITH RECURSIVE u AS (SELECT doc_id, regexp_extract_all(text, '[\n!?;。；！？]|[^\n!?;。；！？]+') AS ps FROM documents),

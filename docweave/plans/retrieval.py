@@ -314,12 +314,12 @@ def multi_subquery_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.first_seen(hits, "item_id", "doc_id", 5).select("item_id", "doc_id", "part", "score", "place")
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, text, role, CASE WHEN turn % 3 = 0 THEN 'generated_qa' ELSE 'chunk' END AS record_type, substr(text, 1, 20) AS qa_question, CASE WHEN turn % 2 = 0 THEN substr(text, 21) ELSE '' END AS qa_answer FROM conversations)
+@query(f"""WITH q AS (SELECT conv_id, turn, text, role, CASE WHEN turn % 3 = 0 THEN 'generated_qa' ELSE 'chunk' END AS record_type, CASE WHEN conv_id % 4 = 0 THEN '' ELSE role || '?' END AS qa_question, CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS qa_answer FROM conversations)
 SELECT conv_id, turn, md5(CASE WHEN record_type = 'generated_qa' AND qa_question <> '' AND qa_answer <> '' THEN '{fusion.QA_PREFIX}' || chr(10) || '命中的预生成问题：' || qa_question || chr(10) || '可加入上下文的答案：' || qa_answer ELSE text END) AS text_md5 FROM q""")
 def qa_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, "generated_qa").otherwise("chunk").alias("record_type"), F.substring("text", 1, 20).alias("qa_question"),
-        F.when(F.col("turn") % 2 == 0, F.expr("substring(text, 21)")).otherwise(F.lit("")).alias("qa_answer"),
+        "conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, "generated_qa").otherwise("chunk").alias("record_type"), F.when(F.col("conv_id") % 4 == 0, "").otherwise(F.concat("role", F.lit("?"))).alias("qa_question"),
+        F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.lit("")).alias("qa_answer"),
     )
     return fusion.format_answers(rows).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
