@@ -6,6 +6,8 @@ import os
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+#: Kinds of documents that a parser can be asked for.
+PARSER_KINDS = ("presentation", "laws", "manual", "paper", "resume", "book", "qa", "table", "naive", "picture", "one", "audio", "email", "knowledge_graph", "tag")
 #: The variable that sets each setting.
 VARIABLES = {
     "storage_dir": "RAG_STORAGE_DIR",

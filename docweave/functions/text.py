@@ -121,6 +121,17 @@ def keyword_share(terms: Column, text: Column) -> Column:
     return F.when((F.size(terms) == 0) | (F.coalesce(text, F.lit("")) == ""), F.lit(0.0)).otherwise(hits.cast("double") / F.size(terms))
 
 
+def overlap_share(query: Column, text: Column) -> Column:
+    """Share of a query's words (repeats counted) that the text has too; 0 without words."""
+    words = lambda t: F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"[{CJK}]|[A-Za-z0-9]+"), F.lit(0))
+
+    def share(v: Column) -> Column:
+        met = F.size(F.filter(v["q"], lambda w: F.array_contains(v["t"], w)))
+        return F.when(F.size(v["q"]) == 0, F.lit(0.0)).otherwise(met.cast("double") / F.size(v["q"]))
+
+    return bound(F.struct(words(query).alias("q"), F.array_distinct(words(text)).alias("t")), share)
+
+
 def fold_width(text: Column) -> Column:
     """Full-width forms to ASCII, the ideographic space to a space."""
     full = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"

@@ -109,6 +109,13 @@ def rule_intent(question: Column) -> Column:
     return F.when(T.strip(F.coalesce(question, F.lit(""))) == "", F.lit("clarification")).otherwise(best)
 
 
+def said_intent(answer: Column) -> Column:
+    """The intent that a model's answer states as a JSON object, alone or among other words; null if it isn't a known one."""
+    inner = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
+    said = T.strip(F.coalesce(F.get_json_object(answer, "$.intent"), F.get_json_object(inner, "$.intent")))
+    return F.when(said.isin([p.name for p in INTENTS]), said)
+
+
 def profile_columns(intent: Column) -> dict[str, Column]:
     """Temperature and document dependency of an intent, the default's if unknown."""
     known = F.when(intent.isin([p.name for p in INTENTS]), intent).otherwise(F.lit(DEFAULT_INTENT))

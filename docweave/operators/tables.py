@@ -167,6 +167,14 @@ def key_values(cell: DataFrame, key: str) -> DataFrame:
     return packed.select(*table, "name", F.array_join(F.transform("_v", lambda v: v["value"]), "").alias("value"))
 
 
+def metadata_text(entries: Column) -> Column:
+    """Lines of a document's metadata. entries: array of (name, value, items); items, if any, are maps and stand below the name."""
+    item = lambda m: F.concat(F.lit("  - "), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "；"))
+    single = lambda e: F.concat(e["name"], F.lit("："), F.coalesce(e["value"], F.lit("")))
+    several = lambda e: F.array_join(F.concat(F.array(F.concat(e["name"], F.lit("："))), F.transform(e["items"], item)), "\n")
+    return F.array_join(F.transform(entries, lambda e: F.when(e["items"].isNull(), single(e)).otherwise(several(e))), "\n")
+
+
 def revisions(cell: DataFrame, key: str) -> DataFrame:
     """Rows of revision tables as name-value maps; a row that has only a number goes."""
     table = [key, "table_no"]

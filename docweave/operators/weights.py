@@ -48,6 +48,18 @@ def weighted_tokens(tokens: DataFrame, key: str, dictionary: DataFrame | None =
     return raw.select(key, "token", (F.col("w") / F.sum("w").over(W.partitionBy(key))).alias("weight"))
 
 
+def synonyms(tokens: DataFrame, token: str, dictionary: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Adds synonyms: of Latin words their other lemmas, of the rest what a dictionary lists. Both lookups are tables: name, others."""
+    key = F.when(F.col(token).rlike("^[a-z]+$"), F.col(token)).otherwise(F.regexp_replace(F.lower(token), r"[ \t]+", " "))
+    both = lemmas.select("name", "others", F.lit(True).alias("_latin")).unionByName(dictionary.select("name", "others", F.lit(False).alias("_latin")))
+    both = both.select(F.explode("others").alias("_o"), "name", "_latin").groupBy("name", "_latin").agg(F.array_sort(F.collect_set("_o")).alias("_others"))
+    marked = tokens.withColumns({"_key": key, "_is": F.col(token).rlike("^[a-z]+$")})
+    found = marked.join(both, (F.col("_key") == F.col("name")) & (F.col("_is") == F.col("_latin")), "left")
+    plain = F.array_distinct(F.transform("_others", lambda o: F.when(F.col("_is"), F.replace(o, F.lit("_"), F.lit(" "))).otherwise(o)))
+    kept = F.filter(F.coalesce(plain, F.array().cast("array<string>")), lambda o: (o != "") & (~F.col("_is") | (o != F.col(token))))
+    return found.withColumn("synonyms", kept).drop("_key", "_is", "name", "_latin", "_others")
+
+
 def token_likeness(query: DataFrame, doc: DataFrame, pairs: DataFrame, query_key: str, key: str) -> DataFrame:
     """query_key, key, likeness: the query's weight on tokens that the document has. pairs says which to compare.
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.functions import scores as S
 from docweave.functions import text as T
-from docweave.operators import docstore, evaluation, fields, fulltext, fusion, geometry, layout, lexical, resume, sections
+from docweave.operators import docstore, evaluation, fields, fulltext, fusion, geometry, layout, lexical, questions, resume, sections, tables, weights
 from docweave.plans import curation, retrieval
 from docweave.plans.curation import BOXES, boxes
 from docweave.plans.retrieval import FRAMED, WS, framed, read, sql_strip
@@ -402,6 +403,52 @@ def relaxed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docstore.relaxed(hits.where("score > 60"), hits.where("rank <= 3"), "item_id").select("item_id", "doc_id", "score", "rank")
 
 
+# ---------------------------------------------------------------- answers, overlaps, synonyms, metadata
+
+
+@query("SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'qa' WHEN 1 THEN 'compare' WHEN 5 THEN 'summary' ELSE 'none' END AS intent FROM conversations")
+def intent_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents in models' answers: plain JSON, JSON among words, unknown labels, none, labels with blanks."""
+    said = F.array(F.lit('{"intent": "qa"}'), F.concat(F.lit("It says: "), "text", F.lit('\n{"intent": "compare",\n "why": 1} ok')), F.lit('{"intent": "dance"}'), F.lit("no object"), F.lit('{"label": "qa"}'), F.lit('{"intent": " summary "}'))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(said, (F.col("conv_id") % 6).cast("int")).alias("answer"))
+    return rows.select("conv_id", "turn", F.coalesce(questions.said_intent(F.col("answer")), F.lit("none")).alias("intent"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+') AS q, regexp_extract_all(lower(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')), '[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+') AS d FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 0.0 ELSE round(len(list_filter(q, lambda w: list_contains(d, w)))::DOUBLE / len(q), 6) END AS share FROM t""")
+def overlap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return read(spark, sf_dir, "conversations").withColumn("d", after).select("conv_id", "turn", F.round(T.overlap_share(F.col("text"), F.col("d")), 6).alias("share"))
+
+
+@query("""WITH t AS (SELECT p_partkey, lower(string_split(p_name, ' ')[1]) AS a, 'Size  ' || p_size AS b FROM part), u AS (SELECT p_partkey, a AS token FROM t UNION ALL SELECT p_partkey, b FROM t)
+SELECT p_partkey, token, CASE WHEN token LIKE 'Size%' THEN CASE WHEN (split_part(token, '  ', 2)::INT) % 2 = 0 THEN 'even|n' || split_part(token, '  ', 2) ELSE '' END WHEN substr(token, 1, 1) < 'm' THEN token || ' kind' ELSE '' END AS synonyms FROM u""")
+def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by a table of lemmas, other tokens by a dictionary whose names have single blanks."""
+    part = read(spark, sf_dir, "part")
+    word = F.lower(F.get(F.split("p_name", " "), 0))
+    tokens = part.select("p_partkey", F.explode(F.array(word, F.concat(F.lit("Size  "), F.col("p_size").cast("string")))).alias("token"))
+    lemmas = part.select(word.alias("name")).distinct().where("substring(name, 1, 1) < 'm'").select("name", F.array(F.concat("name", F.lit("_kind")), F.col("name")).alias("others"))
+    sizes = part.select("p_size").distinct().where("p_size % 2 = 0").select(F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("name"), F.array(F.lit("even"), F.concat(F.lit("n"), F.col("p_size").cast("string"))).alias("others"))
+    return weights.synonyms(tokens, "token", sizes, lemmas).select("p_partkey", "token", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+@query("""SELECT r_regionkey, '文档编号：' || r_name || chr(10) || '修订记录：' || chr(10) || string_agg('  - 作者=' || n_name || '；版本=' || n_nationkey, chr(10) ORDER BY n_nationkey) AS text FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
+def metadata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    items = F.transform("ns", lambda n: F.create_map(F.lit("作者"), n["n_name"], F.lit("版本"), n["n_nationkey"].cast("string")))
+    entry = lambda name, value, items: F.struct(F.lit(name).alias("name"), value.alias("value"), items.alias("items"))
+    none = F.lit(None).cast("array<map<string,string>>")
+    rows = read(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
+    return rows.select("r_regionkey", tables.metadata_text(F.array(entry("文档编号", F.col("r_name"), none), entry("修订记录", F.lit(None).cast("string"), items))).alias("text"))
+
+
+@query("WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS n FROM embeddings) SELECT vec_id, round(e[1] / n, 6) AS first, round(e[len(e)] / n, 6) AS last, len(e)::BIGINT AS dims FROM n")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", S.unit(F.col("embedding")).alias("u"))
+    return rows.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"), F.size("u").cast("long").alias("dims"))
+
+
 # ---------------------------------------------------------------- splitters and streams that had no SQL
 
 SPLIT = r"""WITH RECURSIVE u AS (SELECT doc_id, regexp_extract_all(text, '[\n!?;。；！？]|[^\n!?;。；！？]+') AS ps FROM documents),
