@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import scores as S
 from docweave.functions import text as T
-from docweave.operators import docstore, evaluation, fields, fulltext, fusion, geometry, layout, lexical, questions, resume, sections, tables, weights
+from docweave.operators import docstore, evaluation, fields, fulltext, fusion, geometry, grids, layout, lexical, questions, resume, sections, tables, weights
 from docweave.plans import curation, retrieval
 from docweave.plans.curation import BOXES, boxes
 from docweave.plans.retrieval import FRAMED, WS, framed, read, sql_strip
@@ -403,6 +403,59 @@ def relaxed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docstore.relaxed(hits.where("score > 60"), hits.where("rank <= 3"), "item_id").select("item_id", "doc_id", "score", "rank")
 
 
+_DENSE = """dense AS (SELECT p_partkey AS box_id, p_partkey // 20 AS page, ['t', 'u'][p_partkey % 2 + 1] AS type, (p_size * 7 % 30)::DOUBLE AS x0, (p_size * 7 % 30 + 25 + p_partkey % 9)::DOUBLE AS x1, (p_partkey % 20 // 5 * 12)::DOUBLE AS top, (p_partkey % 20 // 5 * 12 + 10 + p_size % 5)::DOUBLE AS bottom,
+  ((p_partkey * 37 % 101) / 100.0)::DOUBLE AS score FROM part)"""
+_STRUCT = "STRUCT(id BIGINT, type VARCHAR, x0 DOUBLE, x1 DOUBLE, t DOUBLE, b DOUBLE)"
+_BOTH = "greatest(least(k.x1, s.x1) - greatest(k.x0, s.x0), 0) * greatest(least(k.b, s.bottom) - greatest(k.t, s.top), 0)"
+_SIZES = "(k.x1 - k.x0) * (k.b - k.t)", "(s.x1 - s.x0) * (s.bottom - s.top)"
+
+
+def _kept_boxes(order: str, clash: str) -> str:
+    """SQL of a walk over each page's boxes that keeps those which clash with none kept before."""
+    return f"""WITH RECURSIVE {_DENSE}, s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS n FROM dense),
+w(page, n, kept) AS (SELECT DISTINCT page, 0::BIGINT, []::{_STRUCT}[] FROM s UNION ALL SELECT s.page, s.n, CASE WHEN len(list_filter(w.kept, lambda k: {clash})) = 0
+  THEN list_append(w.kept, {{'id': s.box_id, 'type': s.type, 'x0': s.x0, 'x1': s.x1, 't': s.top, 'b': s.bottom}}::{_STRUCT}) ELSE w.kept END FROM w JOIN s ON s.page = w.page AND s.n = w.n + 1),
+l AS (SELECT page, arg_max(kept, n) AS kept FROM w GROUP BY page) SELECT page, unnest(kept).id AS box_id FROM l"""
+
+
+def dense_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scored boxes that lie over each other, twenty on a page."""
+    d = lambda e: F.expr(e).cast("double")
+    kind = F.get(F.array(F.lit("t"), F.lit("u")), (F.col("p_partkey") % 2).cast("int"))
+    row = "(p_partkey % 20 div 5 * 12)"
+    return read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("box_id"), F.expr("p_partkey div 20").alias("page"), kind.alias("type"), d("p_size * 7 % 30").alias("x0"), d("p_size * 7 % 30 + 25 + p_partkey % 9").alias("x1"), d(row).alias("top"),
+        d(f"{row} + 10 + p_size % 5").alias("bottom"), d("(p_partkey * 37 % 101) / 100.0").alias("score"),
+    )
+
+
+@query(_kept_boxes("score DESC, box_id", f"{_BOTH} / greatest({_SIZES[0]} + {_SIZES[1]} - {_BOTH}, 1e-9) > 0.45"))
+def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of boxes that share much of their area the best scored stay."""
+    return geometry.suppress(dense_boxes(spark, sf_dir), ["page"]).select("page", "box_id")
+
+
+@query(_kept_boxes(f"score DESC, {_SIZES[1].replace('s.', '')} DESC, box_id", f"k.type = s.type AND {_BOTH} >= 0.7 * greatest(least({_SIZES[0]}, {_SIZES[1]}), 1e-9)"))
+def layout_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of boxes of one type of which one covers the other the best scored stay."""
+    return grids.clean_layouts(dense_boxes(spark, sf_dir), ["page"]).select("page", "box_id")
+
+
+def _bands(name: str, low: str, high: str) -> str:
+    """CTEs that number the bands of boxes along one axis."""
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {low}) AS n FROM shifted),
+{name}(page, n, id, band, reach) AS (SELECT page, n, id, 0, {high} FROM {name}_o WHERE n = 1 UNION ALL SELECT o.page, o.n, o.id, CASE WHEN w.reach - o.{low} < 0.5 * greatest(o.{high} - o.{low}, 1e-9) THEN w.band + 1 ELSE w.band END,
+  CASE WHEN w.reach - o.{low} < 0.5 * greatest(o.{high} - o.{low}, 1e-9) THEN o.{high} ELSE greatest(w.reach, o.{high}) END FROM {name} w JOIN {name}_o o ON o.page = w.page AND o.n = w.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE {BOXES}, shifted AS (SELECT id, page, x0 + id / 1024.0::DOUBLE AS x0, x1 + id / 1024.0::DOUBLE AS x1, top, bottom FROM boxes), {_bands("r", "top", "bottom")}, {_bands("c", "x0", "x1")}
+SELECT id, r.band::INT AS row, c.band::INT AS col FROM r JOIN c USING (id)""")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of the boxes of each page; the shift parts equal edges."""
+    shift = F.col("id") / 1024.0
+    return grids.grid(boxes(spark, sf_dir).withColumns({"x0": F.col("x0") + shift, "x1": F.col("x1") + shift}), ["page"]).select("id", "row", "col")
+
+
 # ---------------------------------------------------------------- answers, overlaps, synonyms, metadata
 
 
