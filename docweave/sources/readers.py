@@ -106,17 +106,21 @@ def case_rows(text: str, suffix: str) -> tuple[list[dict], tuple[str, ...]]:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical evaluation cases of a JSON, JSONL or CSV file (a small file, read on the driver)."""
+    """Canonical evaluation cases of JSON, JSONL or CSV files, in the order of their paths (small files, read one after the other on the driver)."""
     from docweave.operators.evaluation import ALIASES, normalize_cases
 
-    blob = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    rows, declared = case_rows(blob.decode("utf-8-sig"), path.rsplit(".", 1)[-1].lower())
+    rows: list[dict] = []
+    declared: dict[str, None] = {}
+    for file, blob in spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path").toLocalIterator():
+        more, names = case_rows(blob.decode("utf-8-sig"), file.rsplit(".", 1)[-1].lower())
+        rows += more
+        declared |= dict.fromkeys(names)
     known = {a for v in ALIASES.values() for a in v}
     said = lambda v: None if v is None else "|".join(map(str, v)) if isinstance(v, list) else str(v)
     flat = [(i, {k: said(v) for k, v in r.items() if k in known}) for i, r in enumerate(rows, 1)]
     names = sorted({k for _, r in flat for k in r})
     df = spark.createDataFrame(flat, "seq long, m map<string,string>").select("seq", *[F.col("m")[n].alias(n) for n in names])
-    return normalize_cases(df, declared)
+    return normalize_cases(df, tuple(declared))
 
 
 def latest_run(spark: SparkSession, folder: str, prefix: str = "eval_details_", suffix: str = ".jsonl") -> str | None:

@@ -206,3 +206,17 @@ def test_windows_of_long_texts(spark):
         step = size - overlap
         n = 1 if len(text) <= size else -(-(len(text) - size) // step) + 1
         assert got == [w for w in (text[i * step : i * step + size].strip() for i in range(n)) if w]
+
+
+def test_cases_of_several_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"cases": [{"id": "1", "query": "q1"}]}))
+    (tmp_path / "b.jsonl").write_text('{"id": "2", "question": "q2"}\n{"query": "q3"}\n')
+    got = [(r.case_id, r.question) for r in readers.read_cases(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == [("1", "q1"), ("2", "q2"), ("case_0003", "q3")]
+
+
+def test_hierarchies_of_any_depth(spark):
+    """Twenty levels down, and two nodes that are each other's parents."""
+    nodes = [(f"k{i}", f"n{i}", f"k{i - 1}" if i else None) for i in range(20)] + [("a", "A", "b"), ("b", "B", "a"), ("c", "C", "gone")]
+    got = {r.key: r.path for r in resume.hierarchy_paths(spark.createDataFrame(nodes, "key string, name string, parent string"), "key", "name", "parent").collect()}
+    assert got["k19"] == [f"n{i}" for i in range(19, -1, -1)] and got["a"] == ["A", "B"] and got["b"] == ["B", "A"] and got["c"] == ["C"]
