@@ -72,10 +72,14 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def context(hits: DataFrame, query_key: str, most: int = 6000) -> DataFrame:
-    """query_key, context: ranked hits under headers, cut to a character budget. hits: rank, file_name, score, text."""
-    head = F.format_string("[%d] %s score=%.4f\n", F.col("rank"), F.col("file_name"), F.col("score").cast("double"))
+    """query_key, context: ranked hits under headers, cut to a character budget; chars: what counts towards it, so without joints.
+
+    hits: rank, file_name, score, text.
+    """
+    head = F.format_string("[%d] %s score=%s\n", F.col("rank"), F.col("file_name"), S.fixed(F.col("score").cast("double")))
     pieces = hits.select(query_key, "rank", F.concat(head, T.strip(F.coalesce("text", F.lit("")))).alias("piece"))
     before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy(query_key).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = pieces.withColumn("_b", before).where(F.col("_b") < most).withColumn("piece", F.substring("piece", F.lit(1), (most - F.col("_b")).cast("int")))
     packed = cut.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct("rank", "piece"))).alias("_p"))
-    return packed.select(query_key, F.array_join(F.transform("_p", lambda p: p["piece"]), "\n\n").alias("context"))
+    chars = F.aggregate("_p", F.lit(0).cast("long"), lambda n, p: n + F.length(p["piece"]))
+    return packed.select(query_key, F.array_join(F.transform("_p", lambda p: p["piece"]), "\n\n").alias("context"), chars.alias("chars"))

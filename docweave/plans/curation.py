@@ -133,8 +133,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = lexical.search(docs, "doc_id", read(spark, sf_dir, "benchmark"), "item_id", 5)
     texts = docs.select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"))
     made = evaluation.context(F.broadcast(hits).join(texts, "doc_id"), "item_id", 5000)  # hits: five rows a query
-    joints = F.greatest(F.size(F.split("context", r"\n\n(?=\[[0-9]+\] [0-9]+\.txt score=)")) - 1, F.lit(0))
-    return made.select("item_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), (F.length("context") - 2 * joints).cast("long").alias("chars"))
+    return made.select("item_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), "chars")
 
 
 @query(f"""WITH p AS (SELECT conv_id, 0 AS i, '[文档信息]' || chr(10) || '文件名：' || conv_id || '.txt' AS piece FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL

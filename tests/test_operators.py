@@ -1,12 +1,14 @@
 """Operators on hand-made tables."""
 
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.config import Settings
+from docweave.functions import scores as S
 from docweave.operators import docstore, evaluation, fusion, geometry, lexical, resume, sections, store, tables, vector, weights
 from docweave.sources import readers
 from docweave import seams
@@ -220,3 +222,21 @@ def test_hierarchies_of_any_depth(spark):
     nodes = [(f"k{i}", f"n{i}", f"k{i - 1}" if i else None) for i in range(20)] + [("a", "A", "b"), ("b", "B", "a"), ("c", "C", "gone")]
     got = {r.key: r.path for r in resume.hierarchy_paths(spark.createDataFrame(nodes, "key string, name string, parent string"), "key", "name", "parent").collect()}
     assert got["k19"] == [f"n{i}" for i in range(19, -1, -1)] and got["a"] == ["A", "B"] and got["b"] == ["B", "A"] and got["c"] == ["C"]
+
+
+def test_fixed_rounds_as_python(spark):
+    rng = random.Random(7)
+    values = [46.21035, 102.29965, 82.69125, 0.03125, 0.09375, 0.00005, 0.00015, -46.21035, -0.00001, 0.0, 0.99995, 1e-9, 123456.78905, 4e15]
+    values += [round(rng.uniform(0, 10 ** rng.randint(-3, 6)), rng.randint(3, 6)) for _ in range(3000)] + [n / 20000 for n in range(1, 2001, 2)] + [n / 32 for n in range(1, 200)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.fixed(F.col("v")).alias("four"), S.fixed(F.col("v"), 1).alias("one")).collect()
+    assert [(r.v, r.four, r.one) for r in got] == [(v, f"{v:.4f}", f"{v:.1f}") for v in values]
+
+
+@pytest.mark.parametrize("most", [5, 33, 34, 35, 42, 63])
+def test_context_counts_what_it_holds(spark, most):
+    """A score that lies between two texts rounds as in Python; a header that the budget cuts is still a piece."""
+    hits = spark.createDataFrame([(1, "a.txt", 46.21035, "x" * 10), (2, "12.txt", 82.69125, "y")], "rank int, file_name string, score double, text string").withColumn("q", F.lit(1))
+    first, second = "[1] a.txt score=46.2103\n" + "x" * 10, "[2] 12.txt score=82.6912\ny"
+    pieces = [first[:most], second[: max(0, most - len(first))]]
+    (got,) = evaluation.context(hits, "q", most).collect()
+    assert (got.context, got.chars) == ("\n\n".join(p for p in pieces if p), min(most, len(first + second)))
