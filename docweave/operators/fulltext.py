@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from docweave.functions import scores as S
 from docweave.functions import text as T
+from docweave.sources.workspace import written
 
 #: How much a hit in each field counts.
 FIELD_BOOSTS = {"title_tks": 10.0, "title_sm_tks": 5.0, "important_kwd": 30.0, "important_tks": 20.0, "question_tks": 20.0, "content_ltks": 2.0, "content_sm_ltks": 1.0}
+#: Most (query, term) rows that are broadcast; beyond it terms join by shuffle.
+HELD_CLAUSES = 20_000
 #: Words that ask but don't say what about.
 ASKING = (
     ("(?i)是*(什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*", ""),
@@ -71,16 +74,22 @@ def best_fields(hits: DataFrame, clauses: DataFrame, query_key: str, key: str, k
 
     hits: key, field, term, tf, length (postings by field); clauses: query_key, term, weight. A field scores its
     boosted BM25; the best field counts; rows must match the asked share of a query's terms.
+
+    Postings of asked terms are written once, then grouped once by query and row. They meet tables of a bounded size, or
+    join by a merge: a size that Spark estimates from compressed shuffles must not make it broadcast a table of rows.
     """
+    beside = F.broadcast if clauses.limit(HELD_CLAUSES + 1).count() <= HELD_CLAUSES else lambda df: df.hint("merge")
     boost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FIELD_BOOSTS.items() for x in kv]), F.col("field")), F.lit(1.0))
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     sizes = hits.select("field", key, "length").distinct().groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     asked = clauses.groupBy(query_key).agg(F.countDistinct("term").alias("asked"))
-    found = hits.join(clauses, "term").join(df, ["field", "term"]).join(sizes, "field")
+    found = written(hits.join(beside(clauses.select("term").distinct()), "term", "left_semi"), "field-hits")
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    met = found.join(beside(clauses), "term").join(beside(df), ["field", "term"]).join(F.broadcast(sizes), "field")  # sizes: a row a field
     value = boost * S.bm25(F.col("tf"), F.col("weight"), S.inverse_frequency(F.col("n"), F.col("df")), F.col("length"), F.col("mean_length"))
-    fields = found.groupBy(query_key, key, "field").agg(F.sum(value).alias("s"))
-    met = found.groupBy(query_key, key).agg(F.countDistinct("term").alias("met"))
-    best = fields.groupBy(query_key, key).agg(F.round(F.max("s"), 6).alias("score")).join(met, [query_key, key]).join(asked, query_key)
+    rows = met.groupBy(query_key, key).agg(F.array_sort(F.collect_list(F.struct("field", "term", value.alias("value")))).alias("met"))
+    of = lambda f: F.aggregate(F.filter("met", lambda x: x["field"] == f), F.lit(0.0), lambda s, x: s + x["value"])
+    score = F.round(F.array_max(F.transform(F.array_distinct(F.col("met.field")), of)), 6)
+    best = rows.select(query_key, key, score.alias("score"), F.size(F.array_distinct(F.col("met.term"))).alias("met")).join(beside(asked), query_key)
     kept = best.where(F.col("met") >= F.ceil(F.lit(min_match) * F.col("asked")))
     rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, key, "score", "rank")

@@ -69,6 +69,27 @@ def test_best_fields(spark):
     assert [r.id for r in fulltext.near_phrases(pos, "id", "a", "b").collect()] == [1]
 
 
+def broadcast_rows(plan):
+    """Rows of each table that an executed plan has broadcast."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return broadcast_rows(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return broadcast_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "BroadcastExchange" else []
+    return own + [n for i in range(plan.children().size()) for n in broadcast_rows(plan.children().apply(i))]
+
+
+@pytest.mark.parametrize("held", [fulltext.HELD_CLAUSES, 0])
+def test_best_fields_broadcasts_no_rows(spark, monkeypatch, held):
+    """Three thousand rows that match are never broadcast, however small their shuffles are; many clauses join by a merge."""
+    monkeypatch.setattr(fulltext, "HELD_CLAUSES", held)
+    hits = spark.range(3000).select("id", F.lit("title_tks").alias("field"), F.explode(F.array(F.lit("tea"), F.when(F.col("id") % 3 == 0, "pot").otherwise("cup"))).alias("term"), (F.col("id") % 2 + 1).alias("tf"), F.lit(2).alias("length"))
+    clauses = spark.createDataFrame([(7, "tea", 1.0), (7, "pot", 1.0)], "q int, term string, weight double")
+    found = fulltext.best_fields(hits, clauses, "q", "id", 5, 0.9)
+    assert [r.id for r in sorted(found.collect(), key=lambda r: r["rank"])] == [3, 9, 15, 21, 27]
+    assert max(broadcast_rows(found._jdf.queryExecution().executedPlan())) <= 4
+
+
 def test_citations(spark):
     answer = "First part is here. Second 部分在此。```code. x```tail"
     parts = citations.sentences(answer)
