@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import ngrams
-from docweave.llm.shared import in_slices, labelled_sample, small_batches
+from docweave.llm.shared import in_slices, labelled_sample, release_memory, small_batches
 
 #: Characters that count as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -163,6 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings) -> Qualit
     back = [r for i, r in enumerate(rows) if i % 5 == 4]
     w = fit_margin([r for i, r in enumerate(rows) if i % 5 != 4], s.bits, s.epochs)
     slope, offset = calibrate(np.array([margin(w, f) for f, _ in back]), np.array([y for _, y in back]))
+    del sample, rows, back
+    release_memory()
     return QualityModel(w, slope, offset, s.bits)
 
 

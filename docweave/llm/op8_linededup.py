@@ -5,7 +5,8 @@ earlier line (by doc_id, then line number, whether or not that one goes as well)
 `percent` hundredths.
 
 1. Token counts of the whole table, in 2**18 hashed classes, give the order of rarity. Any one order is correct; the
-   classes only make the table of counts bounded, so that it can be a literal.
+   classes only make the table of counts bounded, so that it can be one value: that of a scalar subquery, as a literal of
+   so many numbers would be spelt out in each of the driver's plan descriptions.
 2. Each line keeps its prefix: its rarest tokens, so many that two similar lines must share one.
 3. Lines of equal sets fall together by their keys, pre-aggregated before the shuffle; the earliest of each set goes on.
 4. Prefixes join by token. A pair is met at the rarest token that both share, where nothing before it is shared; so the
@@ -68,8 +69,8 @@ def _class(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")
 
 
-def rarity(docs: DataFrame) -> tuple[Callable[[Column], Column], int]:
-    """A function from a token's hash to its order, and the order that halves the table's tokens.
+def rarity(docs: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], int]:
+    """A written table of one row and column, the ranks; a function from those and a token's hash to its order; the order that halves the table's tokens.
 
     The class of a token is the top bits of its hash; classes are ranked by their counts over the whole table, and the
     order is the hash with its class replaced by the class's rank. That is one to one, so no two hashes meet.
@@ -89,9 +90,9 @@ def rarity(docs: DataFrame) -> tuple[Callable[[Column], Column], int]:
             half = (flipped - n if flipped >= n >> 1 else flipped) << (64 - CLASS_BITS)
         passed += counts[c]
         swap[c] = flipped ^ c
-    table = F.split(F.lit(",".join(map(str, swap))), ",").cast("array<int>")
+    ranks = materialize(docs.sparkSession.createDataFrame([(swap,)], "ranks array<int>").coalesce(1), "token-ranks")
     # never null, so that arrays of orders sort as plain numbers
-    return lambda h: h.bitwiseXOR(F.call_function("shiftleft", F.coalesce(F.get(table, _class(h)), F.lit(0)).cast("long"), F.lit(64 - CLASS_BITS))), half
+    return ranks, lambda table, h: h.bitwiseXOR(F.call_function("shiftleft", F.coalesce(F.get(table, _class(h)), F.lit(0)).cast("long"), F.lit(64 - CLASS_BITS))), half
 
 
 @dataclass(frozen=True)
@@ -127,10 +128,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     """Every line's position, set size, set key, parity bitmap (64 bits each for the rarer and the commoner tokens) and prefix."""
-    order, half = rarity(docs)
+    ranks, order, half = rarity(docs)
     # the order that halves the tokens is sorted in among them, which shows where the commoner ones begin
-    ordered = F.sort_array(F.array_append(F.transform(_hashes(F.col("line")), order), F.lit(half).cast("long")))
-    lines = _lines(docs).select(at.pos.alias("pos"), ordered.alias("_o"))
+    ordered = F.sort_array(F.array_append(F.transform(_hashes(F.col("line")), lambda h: order(F.col("_ranks"), h)), F.lit(half).cast("long")))
+    # used once, so the optimizer puts the subquery in the column's place and no row holds the ranks
+    lines = _lines(docs).withColumn("_ranks", ranks.scalar()).select(at.pos.alias("pos"), ordered.alias("_o"))
     size, middle = F.size("_o") - 1, F.array_position("_o", F.lit(half).cast("long")).cast("int")
     lines = lines.select("pos", "_o", size.alias("n"), F.slice("_o", F.lit(1), middle - 1).alias("_rare"), F.slice("_o", middle + 1, size - middle + 1).alias("_often"))
     needed = F.col("n") - F.expr(f"({s.percent} * n + 99) div 100").cast("int") + 1
@@ -210,13 +212,7 @@ def later_matches(docs: DataFrame, at: Places, first: DataFrame, s: LineSettings
 
 def removed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     """`_in` (the document's number) and the sorted numbers of the lines that go, for documents that lose one."""
-    spark, name = docs.sparkSession, "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "20000")  # the literal order would fill the driver's plan descriptions
-    try:
-        lines = materialize(keyed_lines(docs, at, s), "lines").where("n > 0")  # above the scan, else the filter would make each set twice
-    finally:
-        spark.conf.set(name, before)
+    lines = materialize(keyed_lines(docs, at, s), "lines").where("n > 0")  # above the scan, else the filter would make each set twice
     keys = ["k", "b1", "b2", "n"]
     earliest = lines.groupBy(*keys).agg(F.count("*").alias("copies"), F.min(F.struct("pos", "prefix")).alias("m"))
     first = materialize(earliest.select(*keys, "copies", F.col("m.pos").alias("pos"), F.col("m.prefix").alias("prefix")), "first-lines")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,12 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: in
     pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
+def release_memory() -> None:
+    """Hand what this process has freed back to the system. glibc keeps it for later, but beside the JVM a driver may have no later need of it."""
+    with suppress(AttributeError, OSError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
