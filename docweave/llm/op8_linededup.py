@@ -35,6 +35,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ def rarity(docs: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Colum
             half = (flipped - n if flipped >= n >> 1 else flipped) << (64 - CLASS_BITS)
         passed += counts[c]
         swap[c] = flipped ^ c
-    ranks = materialize(docs.sparkSession.createDataFrame([(swap,)], "ranks array<int>").coalesce(1), "token-ranks")
+    held = pa.table({"ranks": pa.array([swap], pa.list_(pa.int32()))})  # from Arrow no Python worker makes the row
+    ranks = materialize(docs.sparkSession.createDataFrame(held), "token-ranks")
     # never null, so that arrays of orders sort as plain numbers
     return ranks, lambda table, h: h.bitwiseXOR(F.call_function("shiftleft", F.coalesce(F.get(table, _class(h)), F.lit(0)).cast("long"), F.lit(64 - CLASS_BITS))), half
 
