@@ -13,7 +13,9 @@ packed once more, first fit by decreasing length.
 
 Tokens: a text's ids followed by the separator id. White space never reaches a token of this
 vocabulary, so texts are tokenised by their white-space-separated parts, each distinct part once
-per worker while a bounded cache holds it; ids equal those of the whole text.
+per worker while a bounded cache holds it; ids equal those of the whole text. The vocabulary never joins
+letters with marks either, so of a new part that is a run of Latin letters between marks only the runs
+not yet known are tokenised, whatever marks and capitals they came with before.
 
 Defined results: null and empty text are one separator token; a null doc_id gives pieces with a
 null doc_id; repeated rows each give their own pieces; pieces of equal length and class keep the workers' order, which a written
@@ -23,6 +25,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -40,6 +43,20 @@ from pyspark.sql import functions as F
 
 from docweave.llm.shared import discarding, in_slices, materialize, small_batches
 
+#: What the vocabulary does to a text before it looks for tokens.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: In lines of one word: letters whose small forms are one letter each and that NFC leaves alone, perhaps between ASCII marks (no
+#: apostrophe, nor what special tokens hold); or any word.
+_MARKS = r"([!-&(-/:;=?@\[-`{}~]*)"
+WORDS = re.compile(rf"^(?:{_MARKS}([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+){_MARKS}|.*)$", re.MULTILINE)
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long"
 
 
@@ -78,6 +95,12 @@ def split_parts(text: str) -> list[str]:
     return text.split()
 
 
+def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of values, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordTokenizer:
     """Ids of texts by distinct white-space-separated parts, with a cache of bounded size."""
 
@@ -89,6 +112,7 @@ class WordTokenizer:
         self.between = self.special[-1] if self.special else None
         self.mark = self.inner.token_to_id(self.between) if self.between else -1
         self.most = most
+        self.ends_run = self._ends_run()
         self.clear()
 
     def clear(self) -> None:
@@ -96,10 +120,17 @@ class WordTokenizer:
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i]: where the ids of word i - 1 end
         self.hits = np.zeros(0, np.int64)
+        self.met: list[np.ndarray] = []  # places not yet counted in hits
         self.known = 0
 
+    def _count_hits(self) -> None:
+        hits = np.bincount(np.concatenate(self.met), minlength=self.known) if self.met else np.zeros(self.known, np.int64)
+        hits[: len(self.hits)] += self.hits
+        self.hits, self.met = hits, []
+
     def _forget(self) -> None:
         """Keep the words met most often, half a cache of them at most."""
+        self._count_hits()
         keep = np.flatnonzero(self.hits > max(1, np.partition(self.hits, -(self.most // 2))[-(self.most // 2)]))
         first, size = self.ends[keep], self.ends[keep + 1] - self.ends[keep]
         ends = np.cumsum(size)
@@ -112,12 +143,29 @@ class WordTokenizer:
             self.ids, self.hits, self.known = ids, hits, len(keep)
             self.ends = np.concatenate([[0], ends, np.zeros(len(keep) + 1, np.int64)])
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words; 64 at a time share one call, parted by a special token that none of them holds."""
+    def _ends_run(self) -> np.ndarray | None:
+        """For each id whether it ends a run of letters or of marks; None unless this tokenizer parts words into such runs."""
+        made = json.loads(self.inner.to_str())
+        suffix = made["model"].get("end_of_word_suffix")
+        if not suffix or made["normalizer"] != NORMALIZER or made["pre_tokenizer"] != PRE_TOKENIZER or any(WORDS.match(t)[2] for t in self.special):
+            return None
+        ends = np.zeros(self.inner.get_vocab_size(), bool)
+        ends[[i for t, i in self.inner.get_vocab().items() if t.endswith(suffix)]] = True
+        return ends
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids of runs, and how many each has: up to the one that carries the end-of-word suffix."""
+        encoded = self.inner.encode_batch_fast([" ".join(runs[i : i + 64]) for i in range(0, len(runs), 64)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
+        ends = np.flatnonzero(self.ends_run[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(runs) and ends[-1] == len(ids) else None
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of any words, and how many each has; 64 at a time share one call, parted by a special token that none of them holds."""
         groups = [words[i : i + 64] for i in range(0, len(words), 64)]
         texts = [(self.between or " ").join(g) for g in groups]
         encoded = self.inner.encode_batch_fast(texts, add_special_tokens=False)
-        ids, sizes = [], []
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for g, text, enc in zip(groups, texts, encoded, strict=True):
             got = np.array(enc.ids, np.uint32)
             at = np.flatnonzero(got == self.mark)
@@ -129,15 +177,62 @@ class WordTokenizer:
                 parts = [np.array(self.inner.encode(w, add_special_tokens=False).ids, np.uint32) for w in g]
                 ids += parts
                 sizes.append(np.array([len(x) for x in parts], np.int64))
-        start = self.ends[self.known]
-        new = np.concatenate(ids)
-        ends = start + np.cumsum(np.concatenate(sizes))
-        if start + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(new)), np.uint32)])
-        if self.known + len(words) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words) + 1), np.int64)])
-        self.ids[start : start + len(new)] = new
-        self.ends[self.known + 1 : self.known + 1 + len(words)] = ends
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _reserve(self, ids: int, words: int) -> None:
+        if ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), ids - len(self.ids)), np.uint32)])
+        if words >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), words + 1 - len(self.ends)), np.int64)])
+
+    def _unlearnt(self) -> list[str]:
+        """The words that have places but no ids yet; found from the end, as the cache is long."""
+        return list(islice(reversed(self.place), len(self.place) - self.known))[::-1]
+
+    def _learn(self) -> None:
+        """Ids of the words that have places but no ids yet, and of the runs in them that have no places."""
+        words = self._unlearnt()
+        pieces = np.full((len(words), 3), -1, np.int64)  # places of a word's runs, if it has several
+        runs = None
+        if self.ends_run is not None:
+            front, letters, back = zip(*WORDS.findall("\n".join(words)), strict=True)
+            small = "\n".join(letters).lower().split("\n")
+            is_plain = np.fromiter(map(bool, letters), bool, len(words))
+            places = np.array([np.fromiter(map(self.place.__getitem__, part), np.int64, len(words)) for part in (front, small, back)]).T
+            words = self._unlearnt()
+            new = len(words)
+            direct = np.zeros(new, bool)
+            asked = places[is_plain].ravel() - self.known
+            direct[asked[asked >= 0]] = True
+            if (none := self.place[""]) >= self.known:  # no marks before or after; not a run
+                direct[none - self.known] = False
+            chosen = np.flatnonzero(direct)
+            runs = self._runs([words[i] for i in chosen.tolist()]) if len(chosen) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            pieces = np.concatenate([np.where((is_plain & ~direct[: len(is_plain)])[:, None], places, -1), np.full((new - len(is_plain), 3), -1, np.int64)])
+        if runs is None:  # another tokenizer, or one that parts runs in a way not known here
+            chosen, runs = np.zeros(0, np.int64), (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            pieces = np.full((len(words), 3), -1, np.int64)
+        whole = pieces[:, 1] < 0
+        whole[chosen] = False
+        other = np.flatnonzero(whole)
+        more = self._whole([words[i] for i in other.tolist()])
+        # runs and whole words are put where the new words' ids will be, and the words made of those and of known ones
+        begin, made = self.ends[self.known], np.concatenate([runs[0], more[0]])
+        self._reserve(begin + len(made), self.known + len(words))
+        self.ids[begin : begin + len(made)] = made
+        size = np.zeros(len(words), np.int64)
+        took = np.concatenate([chosen, other])
+        size[took] = np.concatenate([runs[1], more[1]])
+        first = np.zeros(len(words), np.int64)
+        first[took] = begin + np.cumsum(size[took]) - size[took]
+        composed = pieces[:, 1] >= 0
+        pieces[~composed, 0] = np.flatnonzero(~composed) + self.known
+        old, fresh = np.clip(pieces, 0, max(self.known - 1, 0)), np.clip(pieces - self.known, 0, None)
+        sizes = np.where(pieces < 0, 0, np.where(pieces < self.known, self.ends[old + 1] - self.ends[old], size[fresh]))
+        new = gather(self.ids, np.where(pieces < self.known, self.ends[old], first[fresh]).ravel(), sizes.ravel())
+        self._reserve(begin + len(new), self.known + len(words))
+        self.ids[begin : begin + len(new)] = new
+        self.ends[self.known + 1 : self.known + 1 + len(words)] = begin + np.cumsum(sizes.sum(1))
         self.known += len(words)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -146,14 +241,13 @@ class WordTokenizer:
             self._forget()
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         if len(self.place) > self.known:
-            self._learn(list(islice(self.place, self.known, None)))
-        met = np.bincount(at, minlength=self.known)
-        met[: len(self.hits)] += self.hits
-        self.hits = met
+            self._learn()
+        self.met.append(at)
+        if sum(map(len, self.met)) > 1 << 20:
+            self._count_hits()
         first, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.cumsum([len(w) for w in words])]
+        flat = gather(self.ids, first, size)
+        upto = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(w) for w in words])]
         return np.split(flat, upto[:-1])
 
 

@@ -189,6 +189,31 @@ def test_cached_tokens_are_the_tokenizers(rows):
                 assert got.tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_known_runs_are_not_tokenised_again():
+    """A word that comes with other marks and capitals costs the tokenizer nothing; its ids stay the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    class Asked:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, []
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += texts
+            return self.inner.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    plain, cached = Tokenizer.from_file(TOKENIZER), op3_packing.WordTokenizer(TOKENIZER, 1000)
+    cached.inner = asked = Asked(cached.inner)
+    parts = [["erlyenq Erlyenq, (erlyenq)", "", "ERLYENQ!! It's 3x"], ["--Erlyenq-- \u00d6keitlichq.", "\x1cerlyenq"], ["\u00f6keitlichq ERLYENQ", " \x1c "]]
+    for part in parts:
+        for t, got in zip(part, cached.encode(part), strict=True):
+            assert got.tolist() == plain.encode(t, add_special_tokens=False).ids
+    said = " ".join(asked.texts).lower().replace("\x1cerlyenq", "")
+    assert said.count("erlyenq") == 1 and said.count("\u00f6keitlichq") == 1
+
+
 # ------------------------------------------------------------------ 4 quality
 
 
