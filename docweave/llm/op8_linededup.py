@@ -31,9 +31,11 @@ three that are added.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -71,10 +73,11 @@ def _class(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], int]:
-    """A written table of one row and column, the ranks; a function from those and a token's hash to its order; the order that halves the table's tokens.
+    """A written table of one row and column, the ranks; a function from those and a token's hash to its order; the order of the empty string.
 
     The class of a token is the top bits of its hash; classes are ranked by their counts over the whole table, and the
-    order is the hash with its class replaced by the class's rank. That is one to one, so no two hashes meet.
+    order is the hash with its class replaced by the class's rank. That is one to one, so no two hashes meet. Only the
+    empty string's class is ranked where half of the table's tokens are behind it, so that its order parts the rarer ones from the commoner.
     """
     n = 1 << CLASS_BITS
     tokens = _lines(docs).select(F.explode(_words(F.col("line"))).alias("t")).where("t <> ''")
@@ -84,17 +87,19 @@ def rarity(docs: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Colum
     for g, *k in four.collect():  # at most 2**(CLASS_BITS - 2) rows
         counts[4 * g : 4 * g + 4] = k
     swap = [0] * n
-    half, passed, total = 0, 0, sum(counts)
-    for rank, c in enumerate(sorted(range(n), key=counts.__getitem__)):
+    empty = docs.sparkSession.sql("SELECT xxhash64('')").first()[0]
+    own = (empty >> (64 - CLASS_BITS)) & (n - 1)
+    ranked = sorted((c for c in range(n) if c != own), key=counts.__getitem__)
+    half, upto = (sum(counts) - counts[own]) / 2, [0, *accumulate(counts[c] for c in ranked)]
+    ranked.insert(bisect_left(upto, half), own)
+    for rank, c in enumerate(ranked):
         flipped = rank ^ (n >> 1)  # the flipped top bit makes signed order the order of ranks
-        if 2 * passed <= total:
-            half = (flipped - n if flipped >= n >> 1 else flipped) << (64 - CLASS_BITS)
-        passed += counts[c]
         swap[c] = flipped ^ c
+    middle = empty ^ (swap[own] - (n if swap[own] >= n >> 1 else 0)) << (64 - CLASS_BITS)
     held = pa.table({"ranks": pa.array([swap], pa.list_(pa.int32()))})  # from Arrow no Python worker makes the row
     ranks = materialize(docs.sparkSession.createDataFrame(held), "token-ranks")
-    # never null, so that arrays of orders sort as plain numbers
-    return ranks, lambda table, h: h.bitwiseXOR(F.call_function("shiftleft", F.coalesce(F.get(table, _class(h)), F.lit(0)).cast("long"), F.lit(64 - CLASS_BITS))), half
+    # never null, so that arrays of orders sort as plain numbers; in ANSI mode the optimizer sees that and drops the coalesce
+    return ranks, lambda table, h: h.bitwiseXOR(F.call_function("shiftleft", F.coalesce(table[F.shiftrightunsigned(h, 64 - CLASS_BITS)], F.lit(0)).cast("long"), F.lit(64 - CLASS_BITS))), middle
 
 
 @dataclass(frozen=True)
@@ -130,12 +135,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def keyed_lines(docs: DataFrame, at: Places, s: LineSettings) -> DataFrame:
     """Every line's position, set size, set key, parity bitmap (64 bits each for the rarer and the commoner tokens) and prefix."""
-    ranks, order, half = rarity(docs)
-    # the order that halves the tokens is sorted in among them, which shows where the commoner ones begin
-    ordered = F.sort_array(F.array_append(F.transform(_hashes(F.col("line")), lambda h: order(F.col("_ranks"), h)), F.lit(half).cast("long")))
+    ranks, order, middle = rarity(docs)
+    # the blank makes an empty string one of each line's words; sorted in among the tokens, it shows where the commoner ones begin
+    words = _words(F.concat("line", F.lit(" ")))
+    ordered = F.sort_array(F.array_distinct(F.transform(words, lambda w: order(F.col("_ranks"), F.xxhash64(w)))))
     # used once, so the optimizer puts the subquery in the column's place and no row holds the ranks
     lines = _lines(docs).withColumn("_ranks", ranks.scalar()).select(at.pos.alias("pos"), ordered.alias("_o"))
-    size, middle = F.size("_o") - 1, F.array_position("_o", F.lit(half).cast("long")).cast("int")
+    size, middle = F.size("_o") - 1, F.array_position("_o", F.lit(middle).cast("long")).cast("int")
     lines = lines.select("pos", "_o", size.alias("n"), F.slice("_o", F.lit(1), middle - 1).alias("_rare"), F.slice("_o", middle + 1, size - middle + 1).alias("_often"))
     needed = F.col("n") - F.expr(f"({s.percent} * n + 99) div 100").cast("int") + 1
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
@@ -190,7 +196,8 @@ def later_matches(docs: DataFrame, at: Places, first: DataFrame, s: LineSettings
         led = share.withColumns({f"l_{c}": F.first(c).over(group) for c in ("pos", "ni", "b1", "b2")})
         # only where the join below makes the pair with the first line, whose failing then shows
         like = (F.col("pos") > F.col("l_pos")) & _may_match("", "l_", s.percent) & (_apart("", "l_") <= NEAR_BITS)
-        led = led.withColumn("like_first", like).drop("l_ni", "l_b1", "l_b2")
+        # a token's first line is later than none
+        led = led.withColumn("like_first", like).where("pos > l_pos").drop("l_ni", "l_b1", "l_b2")
         # aliases rather than new names keep the two sides' plans equal below the shuffle, which they share
         a, b = led.alias("a"), share.alias("b")
         meet = (F.col("b.pos") < F.col("a.pos")) & (~F.col("a.like_first") | (F.col("b.pos") == F.col("a.l_pos"))) & _may_match("a.", "b.", s.percent)

@@ -3,7 +3,9 @@
 import random
 import re
 
-from docweave.llm.op8_linededup import LineSettings, deduplicate
+from docweave.llm.op8_linededup import LineSettings, deduplicate, keyed_lines, places, rarity
+from docweave.llm.shared import discarding
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,3 +62,21 @@ def test_lines_of_rows_that_share_an_id(spark):
         assert sorted(kept) == sorted(want)
         for r in got:
             assert r.lines_left == (0 if r.text is None else len(r.text.split("\n"))) == r.n_lines - len(r.removed)
+
+
+def test_words_are_hashed_and_ordered_in_one_step(spark):
+    """Each word meets one lambda; an empty string in every line parts the rarer half of the table's tokens from the commoner."""
+    rows = [(i, f"the a  of r{i} the\n\t\n  s{i}\x0bthe a ") for i in range(40)] + [(50, ""), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("_doc"), "text")
+    with discarding(spark):
+        docs, at = places(docs)
+        made = keyed_lines(docs, at, LineSettings())
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("transform(") == 1 and "array_append" not in plan
+        assert sorted(r.n for r in made.collect()) == [0] * 41 + [3] * 40 + [4] * 40
+        ranks, order, middle = rarity(docs)
+        tokens = [w for _, t in rows for w in WORD.findall(t or "")]
+        words = spark.createDataFrame([(w,) for w in [*tokens, ""]], "w string").withColumn("t", ranks.scalar()).select("w", order(F.col("t"), F.xxhash64("w")).alias("o")).collect()
+    behind = [r.w for r in words if r.o < middle]
+    assert {r.o for r in words if r.w == ""} == {middle}
+    assert {w for w in tokens if w[0] in "rs"} <= set(behind) and "the" not in behind
